@@ -55,10 +55,10 @@ def likeness(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
     have add to the product, all others cancel out but for noise of about 1 / sqrt(lanes).
     """
     dot = F.lit(0.0)
-    pair = F.zip_with(a, b, lambda x, y: F.struct((x - 127.5 * n_a).alias("x"), (y - 127.5 * n_b).alias("y")))
+    pair = F.zip_with(a, b, lambda x, y: F.named_struct(F.lit("x"), x - 127.5 * n_a, F.lit("y"), y - 127.5 * n_b))
     sums = F.aggregate(
         pair, F.struct(dot.alias("xy"), dot.alias("xx"), dot.alias("yy")),
-        lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy")),
+        lambda s, p: F.named_struct(F.lit("xy"), s["xy"] + p["x"] * p["y"], F.lit("xx"), s["xx"] + p["x"] * p["x"], F.lit("yy"), s["yy"] + p["y"] * p["y"]),
         lambda s: F.when((s["xx"] == 0) | (s["yy"] == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["xy"] / F.sqrt(s["xx"] * s["yy"])))),
     )
     return F.when(a == b, 1.0).otherwise(sums)
