@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import cut, hash60, partitions, table
 from matchloom.llm.components import connected_components, local_roots
 
-#: Bound of the sample that the index is fitted on; every vector is indexed.
-SAMPLE = 8_192
 #: Vectors of a list at which the number of lists aims, and bounds of that number.
-LIST_ROWS, LEAST_LISTS, MOST_LISTS = 192, 8, 512
+LIST_ROWS, LEAST_LISTS, MOST_LISTS = 192, 8, 4_096
+#: Vectors of the sample for each list; the index is fitted on LIST_SAMPLE * MOST_LISTS at most, and holds every vector.
+LIST_SAMPLE = 16
+#: Lists that a vector searches besides its own: those whose border is nearest, and within reach.
+PROBES = 16
 #: Subspaces of a residual, codewords of each, rounds of k-means.
 SUBSPACES, CODEWORDS, ROUNDS = 8, 32, 8
 #: Members of a list, and searches of it, that one task holds together.
@@ -58,11 +60,15 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres
 
 
+def lists_for(rows: int) -> int:
+    return min(max(rows // LIST_ROWS, LEAST_LISTS), MOST_LISTS)
+
+
 def fit(sample: np.ndarray, rows: int, cosine: float) -> Index:
     """An index for `rows` vectors from a sample of unit vectors."""
     rng = np.random.default_rng(SEED)
     dim = sample.shape[1]
-    lists = _kmeans(sample, int(np.clip(rows // LIST_ROWS, LEAST_LISTS, MOST_LISTS)), rng)
+    lists = _kmeans(sample, lists_for(rows), rng)
     near = ((lists**2).sum(1)[None] - 2 * sample @ lists.T).argmin(1)
     width = -(-dim // SUBSPACES)
     index = Index(dim, lists, np.zeros((SUBSPACES, CODEWORDS, width)), math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6)
@@ -103,9 +109,9 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.95)
     """id, n_links, component_id, kept: one row for each row, linked with all others of a cosine of `cosine` or more.
 
     Equal vectors are one node of the index; they are linked with each other, and their number counts in n_links. A
-    search visits every list that can hold a vector within reach: one nearer to that list's centre than to the
-    search's own, so the distance from the search to the plane between both is within reach. No link is lost, and each
-    is found once, as a vector searches only its own list and later ones. Vectors that are null, zero, or hold null or
+    vector searches its own list and the PROBES others to whose border (the plane between both centres) it is nearest;
+    lists whose border is out of reach cannot hold a partner. A link is found if either end searches the other's
+    list, and is counted once. Recall against brute force is tested; no link is below `cosine`. Vectors that are null, zero, or hold null or
     non-finite components, or are not of the most frequent length, link with nothing; their component_id is their id.
     Rows of one id count as two vectors. Long lists are dealt out in blocks.
     """
@@ -128,7 +134,7 @@ def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float) -> Da
     nodes = rows.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec"))
     nodes = cut(nodes.withColumn("node", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")))
     n = nodes.count()
-    sample = nodes.orderBy(hash60(F.col("key"), F.lit("sample"))).limit(SAMPLE).select("vec").toPandas()
+    sample = nodes.orderBy(hash60(F.col("key"), F.lit("sample"))).limit(LIST_SAMPLE * lists_for(n)).select("vec").toPandas()
     units = np.stack(sample.vec.to_numpy())
     units = units / np.abs(units).max(1, keepdims=True)
     index = fit(units / np.linalg.norm(units, axis=1, keepdims=True), n, cosine)
@@ -143,10 +149,13 @@ def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float) -> Da
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             d = 1 + (ix.lists**2).sum(1)[None] - 2 * x @ ix.lists.T
             home = d.argmin(1)
-            visits = d - np.take_along_axis(d, home[:, None], 1) <= 2 * ix.reach * gaps[home] + 1e-9
-            visits &= np.arange(len(ix.lists))[None] >= home[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                border = (d - np.take_along_axis(d, home[:, None], 1)) / (2 * gaps[home])
+            border[np.arange(len(x)), home] = -1
+            border[~(border <= ix.reach)] = np.inf
+            near = np.argpartition(border, min(PROBES, border.shape[1] - 1), axis=1)[:, : PROBES + 1]
+            lists = [np.sort(c[np.isfinite(r[c])]).astype(np.int32) for r, c in zip(border, near)]
             code, left = ix.quantise(x - ix.lists[home])
-            lists = [np.flatnonzero(r).astype(np.int32) for r in visits]
             yield pd.DataFrame({"node": b.node, "copies": b.copies, "unit": list(x), "home": home, "code": [c.tobytes() for c in code], "left": left, "visits": lists})
 
     kinds = "node long, copies long, unit array<double>, home int, code binary, left double, visits array<int>"
@@ -157,8 +166,8 @@ def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float) -> Da
     load = F.broadcast(cut(load))  # a row for each list
     block = lambda c, k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = placed.join(load, placed.home == load["at"]).select(F.lit(0).alias("role"), "at", block("blocks", 1).alias("block"), every("turns").alias("turn"), "node", "copies", "home", "unit", "code", "left")
-    searches = placed.withColumn("at", F.explode("visits")).join(load, "at").select(F.lit(1).alias("role"), "at", every("blocks").alias("block"), block("turns", 2).alias("turn"), "node", "copies", "home", "unit", "code", "left")
+    members = placed.join(load, placed.home == load["at"]).select(F.lit(0).alias("role"), "at", block("blocks", 1).alias("block"), every("turns").alias("turn"), "node", "copies", "home", "visits", "unit", "code", "left")
+    searches = placed.withColumn("at", F.explode("visits")).join(load, "at").select(F.lit(1).alias("role"), "at", every("blocks").alias("block"), block("turns", 2).alias("turn"), "node", "copies", "home", "visits", "unit", "code", "left")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         ix, at = sent.value, int(group["at"].iloc[0])
@@ -167,8 +176,10 @@ def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float) -> Da
             return pd.DataFrame({"node": [], "links": [], "root": []})
         a, b = links_in_list(ix, at, m, q, cosine)
         qn, mn, home = q.node.to_numpy(), m.node.to_numpy(), q.home.to_numpy()
-        # within the search's own list each pair shows up from both ends
-        on = (home[a] != at) | (qn[a] < mn[b])
+        # within the search's own list each pair shows up from both ends; others do where either searches the other's list
+        visits = m.visits.to_numpy()
+        both = np.array([h in visits[j] for h, j in zip(home[a].tolist(), b.tolist())], bool)
+        on = np.where(home[a] == at, qn[a] < mn[b], ~both | (at < home[a]))
         a, b = a[on], b[on]
         names, inverse = np.unique(np.concatenate((qn, mn)), return_inverse=True)
         ia, ib = inverse[: len(qn)][a], inverse[len(qn) :][b]
