@@ -240,7 +240,9 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str, least: int = 400) ->
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["t", "keys", "places", "los"])
 
-    found = cut(texts.mapInArrow(packed, "t binary, keys array<long>, places array<long>, los array<long>"))
+    # anchors of copies are thrown away again: that moves far fewer bytes than their texts would
+    every = rows.select("t", F.col("text").cast("binary").alias("text")).mapInArrow(packed, "t binary, keys array<long>, places array<long>, los array<long>")
+    found = cut(every.dropDuplicates(["t"]))
     again = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # only the number of each repeated anchor goes on with its text
     at = found.select("t", F.posexplode("keys").alias("i", "key")).join(again, "key").groupBy("t").agg(F.collect_list(F.struct("i", "n")).alias("hits"))
@@ -279,7 +281,7 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str, least: int = 400) ->
         windows = each.select("t", (F.col("lo") + F.col("s")).alias("a"), F.expr("substring(context, 16 * s + 1, 16)").alias("w"))
         twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
         spans = spans.union(windows.join(twice, "w").select("t", "a", (F.col("a") + least).alias("b")))
-    spans = cut(spans).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    spans = spans.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
