@@ -33,9 +33,9 @@ def word_sums(piece: Column) -> list[Column]:
 WORDS = [f"w{i}" for i in range(4 * HASHES)]
 
 
-def lanes_of(words: list[Column]) -> Column:
-    """array<bigint> of all lanes, each from 0 to 2 ** 32 - 1."""
-    return F.array(*[x for w in words for x in (w.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(w, LANE_BITS))])
+def lanes_of(words: Column) -> Column:
+    """array<bigint> of all lanes, each from 0 to 2 ** 32 - 1, of an array of words."""
+    return F.flatten(F.transform(words, lambda w: F.array(w.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(w, LANE_BITS))))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -65,18 +65,18 @@ def likeness(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """keys, lanes, pieces: one row for each combination of keys, over the paragraphs of all rows that have it.
+    """keys, words, pieces: one row for each combination of keys, over the paragraphs of all rows that have it.
 
     So rows may be whole texts or parts of them. A null text counts as empty; without paragraphs all lanes are 0.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(*keys, F.explode(paragraphs(text)).alias("_piece"))
     sums = rows.groupBy(*keys).agg(*word_sums(F.col("_piece")))
-    return sums.select(*keys, lanes_of([F.col(w) for w in WORDS]).alias("lanes"), "pieces")
+    return sums.select(*keys, F.array(*WORDS).alias("words"), "pieces")
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_k, id, text, n_chars, copies, next_k and the start of the next text, as much as a quarter of this one, as `head`.
+    """_k, id, n_chars, copies, prev_k, text and the start of the next text, as much as a quarter of this one, as `head`.
 
     Rows are in the order of their ids, null first; rows of one id by a hash of the text; equal rows are one row with
     its number in `copies`. The last row's next is the first. Ids go through a global order; of the texts only the
@@ -88,31 +88,30 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     placed = cut(ranked(ids, [F.col("id").asc_nulls_first(), F.col("_h")]))
     n = placed.count()
     before = placed.select(((F.col("rank") + 1) % max(n, 1)).alias("rank"), F.col("_k").alias("prev_k"), F.floor(F.col("n_chars") / 4).cast("int").alias("want"))
-    chain = cut(placed.join(before, "rank").select("_k", "n_chars", "copies", "prev_k", "want"))
-    # one row of each set of equal rows
-    texts = docs.select("_k", "id", "text")
-    if n and chain.where("copies > 1").limit(1).count():
-        texts = texts.dropDuplicates(["_k"])
+    chain = cut(placed.join(before, "rank").select("_k", "id", "n_chars", "copies", "prev_k", "want"))
+    texts = docs.select("_k", "text")
+    if n and not chain.where("copies > 1").isEmpty():
+        texts = texts.dropDuplicates(["_k"])  # one row of each set of equal rows
     linked = texts.join(chain, "_k")
-    heads = linked.select(F.col("prev_k").alias("_k"), F.col("_k").alias("next_k"), F.expr("substring(text, 1, want)").alias("head"))
-    own = texts.join(chain.select("_k", "n_chars", "copies"), "_k")
-    return own.join(heads, "_k")
+    heads = linked.select(F.col("prev_k").alias("_k"), F.expr("substring(text, 1, want)").alias("head"))
+    return linked.drop("want").join(heads, "_k")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
     kept = F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))")
     docs = docs.withColumn("edited", F.concat(kept, F.col("head")))
-    keys = ["_k", "id", "n_chars", "copies", "next_k", "edited_sha256", "is_edited"]
+    row = ["_k", "id", "n_chars", "copies", "prev_k"]
     both = F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))
-    rows = docs.select("_k", "id", "n_chars", "copies", "next_k", F.sha2("edited", 256).alias("edited_sha256"), F.inline(both))
-    prints = fingerprint(rows, keys, "text")
-    side = lambda flag: F.max(F.when(F.col("is_edited") == flag, F.struct("lanes", "pieces")))
-    one = cut(prints.groupBy(*keys[:-1]).agg(side(False).alias("own"), side(True).alias("edit")))
-    after = one.select(F.col("_k").alias("next_k"), F.col("own").alias("next"))
-    alike = lambda other: likeness(F.col("own.lanes"), F.col("own.pieces"), F.col(f"{other}.lanes"), F.col(f"{other}.pieces"))
-    return one.join(after, "next_k").select(
+    rows = docs.select(*row, F.sha2("edited", 256).alias("edited_sha256"), F.inline(both))
+    prints = fingerprint(rows, [*row, "edited_sha256", "is_edited"], "text")
+    side = lambda flag: F.max(F.when(F.col("is_edited") == flag, F.struct("words", "pieces")))
+    one = cut(prints.groupBy(*row, "edited_sha256").agg(side(False).alias("own"), side(True).alias("edit")))
+    after = one.select(F.col("prev_k").alias("_k"), F.col("own").alias("next"))
+    lanes = {f"{c}_lanes": lanes_of(F.col(f"{c}.words")) for c in ("own", "edit", "next")}
+    alike = lambda other: likeness(F.col("own_lanes"), F.col("own.pieces"), F.col(f"{other}_lanes"), F.col(f"{other}.pieces"))
+    return one.join(after, "_k").withColumns(lanes).select(
         F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
-        to_text(F.col("own.lanes")).alias("fingerprint"), to_text(F.col("edit.lanes")).alias("edited_fingerprint"),
+        to_text(F.col("own_lanes")).alias("fingerprint"), to_text(F.col("edit_lanes")).alias("edited_fingerprint"),
         alike("edit").alias("near_edited"), alike("next").alias("near_next"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")
