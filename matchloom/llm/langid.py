@@ -17,7 +17,7 @@ from matchloom.llm.common import hash60, key_text, table
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: Bounds of the training sample: rows of each label, and labels.
 SAMPLE_ROWS, SAMPLE_LABELS = 1_500, 200
-EPOCHS, RATE, SEED = 6, 0.05, 7
+EPOCHS, LEAST_BATCHES, RATE, SEED = 6, 600, 0.05, 7
 #: Windows of a text start this far apart, so that every run of the widest filter lies within one.
 STEP = WINDOW - max(WIDTHS) + 1
 BATCH_WINDOWS = 32
@@ -50,7 +50,7 @@ def train(texts: list[bytes], labels: list[str]) -> Model:
     conv = [rng.normal(0, 0.3, (w, 256, FILTERS)) for w in WIDTHS]
     dense, bias = rng.normal(0, 0.3, (len(WIDTHS) * FILTERS, len(names))), np.zeros(len(names))
     square = [np.full_like(p, 1e-6) for p in (*conv, dense, bias)]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_BATCHES * BATCH_WINDOWS // len(x)))):  # small samples are seen more often
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH_WINDOWS):
             rows = x[order[at : at + BATCH_WINDOWS]]

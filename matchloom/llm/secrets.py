@@ -111,7 +111,11 @@ def scan(df: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> Dat
     base = F.concat(F.col("assign"), F.col("access"), F.col("hex"))
     clear = lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
     s = s.withColumn("entropy", F.filter("entropy", clear))
-    tagged = [F.transform(k, lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("k"), x["end"].alias("end"))) for i, k in enumerate(KINDS)]
+
+    def tag(i: int):
+        return lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("k"), x["end"].alias("end"))
+
+    tagged = [F.transform(k, tag(i)) for i, k in enumerate(KINDS)]
     kind = F.array(*map(F.lit, KINDS))
     spans = F.transform(F.array_sort(F.concat(*tagged)), lambda x: F.struct(F.get(kind, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return s.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], spans.alias("spans"), F.col("t").alias("_text"))
