@@ -11,7 +11,6 @@ from matchloom.operators.windows import top
 from matchloom.plans.registry import query
 from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, PREDICTIONS_SQL, fixtures, match_events, predictions
 
-Y = F.col("y")
 _RPS = "(power(p_h - (y = 'H')::INT, 2) + power(p_h + p_d - (y = 'H')::INT - (y = 'D')::INT, 2)) / 2"
 _PICK = "CASE WHEN p_h >= p_d AND p_h >= p_a THEN 'H' WHEN p_d >= p_a THEN 'D' ELSE 'A' END"
 _P_SUM = "1 / odds_h + 1 / odds_d + 1 / odds_a"
@@ -34,7 +33,7 @@ def arms(spark, d):
     each = F.array(arm("forecast", F.col("p_h"), F.col("p_d"), F.col("p_a")), arm("market", F.col("m_h"), F.col("m_d"), F.col("m_a")), arm("uniform", third, third, third))
     long = priced(spark, d).select("match_id", "match_date", "season", "league", "y", F.explode(each).alias("e")).select("match_id", "match_date", "season", "league", "y", "e.*")
     h, dr, a = F.col("p_h"), F.col("p_d"), F.col("p_a")
-    return long.withColumns({"rps": rps(h, dr, Y), "conf": F.greatest(h, dr, a), "hit": (pick(h, dr, a) == Y).cast("int")})
+    return long.withColumns({"rps": rps(h, dr, F.col("y")), "conf": F.greatest(h, dr, a), "hit": (pick(h, dr, a) == F.col("y")).cast("int")})
 
 
 @query(ARMS + ", z AS (SELECT *, power(p_h - (y = 'H')::INT, 2) + power(p_d - (y = 'D')::INT, 2) + power(p_a - (y = 'A')::INT, 2) AS b, -ln(greatest(1e-15, least(1 - 1e-15, CASE y WHEN 'H' THEN p_h WHEN 'D' THEN p_d ELSE p_a END))) AS ll FROM scored) SELECT model, month(match_date) AS phase, count(*) AS n, round(avg(rps), 6) AS rps, round(avg(b), 6) AS brier, round(avg(ll), 6) AS log_loss FROM z GROUP BY 1, 2")
@@ -42,7 +41,7 @@ def EV8_metric_by_phase(spark, d):
     """Proper scores of each model by phase, here the month."""
     h, dr, a = F.col("p_h"), F.col("p_d"), F.col("p_a")
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    return arms(spark, d).groupBy("model", F.month("match_date").alias("phase")).agg(F.count(F.lit(1)).alias("n"), mean("rps", "rps"), mean(brier(h, dr, a, Y), "brier"), mean(log_loss(h, dr, a, Y), "log_loss"))
+    return arms(spark, d).groupBy("model", F.month("match_date").alias("phase")).agg(F.count(F.lit(1)).alias("n"), mean("rps", "rps"), mean(brier(h, dr, a, F.col("y")), "brier"), mean(log_loss(h, dr, a, F.col("y")), "log_loss"))
 
 
 @query(ARMS + ", b AS (SELECT model, quarter(match_date) AS phase, least(9, floor(conf * 10)) AS bin, count(*) AS n, sum(conf) AS c, sum(hit) AS h FROM scored GROUP BY 1, 2, 3) SELECT model, phase, sum(n)::BIGINT AS n, round(sum(abs(c - h)) / sum(n), 6) AS ece, round(sum(c) / sum(n), 6) AS confidence, round(sum(h) / sum(n), 6) AS accuracy, round((sum(c) - sum(h)) / sum(n), 6) AS over FROM b GROUP BY 1, 2")
@@ -64,7 +63,7 @@ def EV12_decaying_blend(spark, d):
     w = priced(spark, d).select("y", "p_h", "p_d", "m_h", "m_d", F.month("match_date").alias("t"), pairs.alias("g"))
     a = F.col("g.alpha0") * F.exp(-F.col("t") / F.col("g.tau"))
     mix = lambda x, z: a * F.col(x) + (1 - a) * F.col(z)
-    return w.groupBy(F.round("g.alpha0", 2).alias("alpha0"), F.col("g.tau").alias("tau")).agg(F.round(F.avg(rps(mix("m_h", "p_h"), mix("m_d", "p_d"), Y)), 6).alias("rps"))
+    return w.groupBy(F.round("g.alpha0", 2).alias("alpha0"), F.col("g.tau").alias("tau")).agg(F.round(F.avg(rps(mix("m_h", "p_h"), mix("m_d", "p_d"), F.col("y"))), 6).alias("rps"))
 
 
 @query(ARMS + f", one AS (SELECT season, model, avg(rps) AS s FROM scored GROUP BY 1, 2), best AS (SELECT season, min(round(s, 9)) AS single, arg_min(model, (round(s, 9), model)) AS model FROM one GROUP BY 1), st AS (SELECT season, avg({_RPS}) AS stack FROM (SELECT season, y, (p_h + m_h) / 2 AS p_h, (p_d + m_d) / 2 AS p_d FROM m) GROUP BY 1) SELECT season, model, round(single, 6) AS single, round(stack, 6) AS stack, round(stack - single, 6) AS delta, CASE WHEN stack < single THEN 'stack' ELSE 'single' END AS served FROM best JOIN st USING (season)")
@@ -73,7 +72,7 @@ def EV16_ensemble(spark, d):
     one = arms(spark, d).groupBy("season", "model").agg(F.round(F.avg("rps"), 9).alias("single"))
     best = top(one, ["season"], [F.col("single"), F.col("model")])
     mid = lambda c: (F.col(f"p_{c}") + F.col(f"m_{c}")) / 2
-    st = priced(spark, d).groupBy("season").agg(F.avg(rps(mid("h"), mid("d"), Y)).alias("stack"))
+    st = priced(spark, d).groupBy("season").agg(F.avg(rps(mid("h"), mid("d"), F.col("y"))).alias("stack"))
     gap = F.col("stack") - F.col("single")
     return best.join(st, "season").select("season", "model", F.round("single", 6).alias("single"), F.round("stack", 6).alias("stack"), F.round(gap, 6).alias("delta"), F.when(gap < 0, "stack").otherwise("single").alias("served"))
 
@@ -159,7 +158,7 @@ def ML12_ordinal_grid(spark, d):
     g = F.least(F.lit(3.0), F.greatest(F.lit(-3.0), F.ln(F.col("odds_a") / F.col("odds_h"))))
     rows = priced(spark, d).where("season = 1999").select("league", "y", g.alias("g"), grid.alias("c"))
     h, dr, a = ordinal(F.col("g"), F.col("c.theta"), F.col("c.sigma"))
-    loss = -F.ln(F.greatest(F.when(Y == "H", h).when(Y == "D", dr).otherwise(a), F.lit(1e-6)))
+    loss = -F.ln(F.greatest(F.when(F.col("y") == "H", h).when(F.col("y") == "D", dr).otherwise(a), F.lit(1e-6)))
     n = rows.groupBy("league", "c").agg(F.avg(loss).alias("nll"))
     return n.groupBy("league").agg(F.min_by("c", "nll").alias("c"), F.round(F.min("nll"), 5).alias("nll")).select("league", "c.theta", "c.sigma", "nll")
 

@@ -13,7 +13,6 @@ from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, fixtures, match_ev
 
 FX = f"WITH f AS ({FIXTURES_SQL}) "
 FLAT = "match_id, match_date, league, season, home_team_id, away_team_id, home_score, away_score"
-_CODE = F.concat(F.lpad((F.col("season") % 100).cast("string"), 2, "0"), F.lpad(((F.col("season") + 1) % 100).cast("string"), 2, "0"))
 
 
 def raw_matches(f):
@@ -31,7 +30,7 @@ def SC1_match_scan(spark, d):
     return files.flatten_matches(spark.read.schema(files.MATCH).json(path)).withColumns({"result": result("home_score", "away_score"), "margin": F.col("home_score") - F.col("away_score")})
 
 
-@query(f"WITH e AS ({EVENTS_SQL}) SELECT match_id, event_id, type, team_id, CASE WHEN event_id % 5 > 0 THEN x END AS x, CASE WHEN event_id % 5 > 1 THEN x / 2 END AS y, CASE WHEN type = 'error' AND team_id = 1 THEN 'Red Card' WHEN type = 'error' THEN 'Yellow Card' END AS card FROM e")
+@query(f"WITH e AS ({EVENTS_SQL}) SELECT match_id, event_id, type, team_id, CASE WHEN event_id % 5 > 0 THEN round(x::DOUBLE, 6) END AS x, CASE WHEN event_id % 5 > 1 THEN round(x::DOUBLE / 2, 6) END AS y, CASE WHEN type = 'error' AND team_id = 1 THEN 'Red Card' WHEN type = 'error' THEN 'Yellow Card' END AS card FROM e")
 def SC2_event_scan(spark, d):
     """Nested event JSON to flat rows; locations of no, one and two numbers; cards from two places."""
     path, n = files.shared_folder(spark), F.col("event_id") % 5
@@ -42,7 +41,7 @@ def SC2_event_scan(spark, d):
         at.alias("location"), card(0, "Yellow Card").alias("foul"), card(1, "Red Card").alias("bad_behaviour"),
     )
     raw.write.json(path)
-    return files.flatten_events(spark.read.schema(files.EVENT).json(path))
+    return files.flatten_events(spark.read.schema(files.EVENT).json(path)).withColumns({c: F.round(c, 6) for c in ("x", "y")})
 
 
 @query("SELECT l_orderkey AS match_id, l_returnflag AS team, l_partkey AS player_id, l_linenumber < 3 AS started, cast(l_suppkey % 3 AS int) AS n_cards FROM lineitem")
@@ -71,13 +70,14 @@ def SC4_catalogue(spark, d):
 def SC6_season_files(spark, d):
     """Season CSVs: the season from the folder's name (SC6), lines that don't parse left out (SC5)."""
     path, f = files.shared_folder(spark), fixtures(spark, d)
-    rows = f.select(F.when(F.col("match_id") % 10 == 0, "broken").otherwise(F.col("match_id").cast("string")).alias("match_id"), "home_score", "away_score", _CODE.alias("code"))
+    code = F.concat(F.lpad((F.col("season") % 100).cast("string"), 2, "0"), F.lpad(((F.col("season") + 1) % 100).cast("string"), 2, "0"))
+    rows = f.select(F.when(F.col("match_id") % 10 == 0, "broken").otherwise(F.col("match_id").cast("string")).alias("match_id"), "home_score", "away_score", code.alias("code"))
     rows.write.partitionBy("code").option("header", True).csv(path)
     read = spark.read.schema("match_id long, home_score long, away_score long").option("header", True).option("mode", "DROPMALFORMED").csv(path)
     return read.select("match_id", "home_score", "away_score", files.season_of_path(F.col("_metadata.file_path")).alias("season"))
 
 
-_SC7 = "SELECT f.home_team_id, count(*) AS matches, sum(f.home_score) AS goals FROM {f} f JOIN {n} n ON f.home_team_id = n.n_nationkey WHERE f.season >= 1994 AND n.n_nationkey < 12 GROUP BY f.home_team_id"
+_SC7 = "SELECT f.home_team_id, count(*) AS matches, CAST(sum(f.home_score) AS BIGINT) AS goals FROM {f} f JOIN {n} n ON f.home_team_id = n.n_nationkey WHERE f.season >= 1994 AND n.n_nationkey < 12 GROUP BY f.home_team_id"
 
 
 @query(FX + _SC7.format(f="f", n="nation"))
