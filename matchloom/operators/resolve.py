@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import normalise
 
-#: Names of a pool up to which it is broadcast.
-POOL_ROWS = 1_000
 
+def _keys(c: Column, own: str, other: str) -> Column:
+    """Keys of a name's tokens: two names share one exactly if a token of one starts a token of the other or is at most one edit away.
 
-def resolve(names: DataFrame, pool: DataFrame, similarity, least: float = 0.5) -> DataFrame:
+    `own` marks a token's beginnings, `other` the token itself; for the other side the two are exchanged. Tokens one
+    edit apart share a form with a letter taken out (or one is such a form of the other).
+    """
+
+    def of(t: Column) -> Column:
+        at = F.sequence(F.lit(0), F.length(t))
+        starts = F.transform(at, lambda i: F.concat(F.lit(own), F.substr(t, F.lit(1), i)))
+        without = F.transform(at, lambda i: F.concat(F.lit("-"), F.substr(t, F.lit(1), i), F.substr(t, i + 2)))
+        return F.concat(starts, F.array(F.concat(F.lit(other), t), F.concat(F.lit("-"), t)), without)
+
+    return F.explode(F.array_distinct(F.flatten(F.transform(F.split(c, " "), of))))
+
+
+def resolve(names: DataFrame, pool: DataFrame, similarity, least: float = 0.5, short: int = 0) -> DataFrame:
     """(source_name, canonical, method, ratio): exact after normalising, else the best by similarity.
 
-    Candidates share the first letter of a token, an equi-join; where none does, the name is scored against the pool,
-    which is counted first and broadcast only while small, so that its best ratio is still reported.
+    Candidates come from an equi-join on keys that all pairs of a ratio above 0 share, so nothing is lost at any size of
+    the pool; a name without a candidate is below the threshold with a ratio of 0. Normal forms of at most `short`
+    letters match exactly or not at all. A null name matches nothing.
     """
-    s = names.withColumn("a", normalise(F.col("source_name")))
+    s = names.select("source_name", normalise(F.col("source_name")).alias("a"))
     p = pool.select("name", normalise(F.col("name")).alias("b"))
-    if p.count() > POOL_ROWS:
-        letters = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda t: F.substring(t, 1, 1)))).alias("block")
-        pairs = s.select("source_name", "a", letters(F.col("a"))).join(p.select("name", "b", letters(F.col("b"))), "block").drop("block").distinct()
-    else:
-        pairs = s.join(F.broadcast(p), F.lit(True))
+    keyed = s.select("source_name", "a", _keys(F.col("a"), "<", ">").alias("key")).join(p.select("name", "b", _keys(F.col("b"), ">", "<").alias("key")), "key")
+    pairs = keyed.select("source_name", "a", "name", "b").distinct()
+    exact = F.col("a") == F.col("b")
+    pairs = pairs.where(exact | (F.length("a") > short))
     ratio, edit = similarity(F.col("a"), F.col("b"))
-    scored = pairs.select("source_name", "name", (F.col("a") == F.col("b")).alias("exact"), ratio.alias("ratio"), edit.alias("edit"))
+    scored = pairs.select("source_name", "name", exact.alias("exact"), ratio.alias("ratio"), edit.alias("edit"))
     w = Window.partitionBy("source_name").orderBy(F.desc("exact"), F.desc("ratio"), "edit", "name")
     best = scored.withColumns({"k": F.row_number().over(w), "r2": F.lead("ratio").over(w), "e2": F.lead("edit").over(w)}).where("k = 1")
+    best = names.select("source_name").distinct().join(best, "source_name", "left").na.fill(0.0, ["ratio"])
     tied = F.coalesce((F.col("ratio") == F.col("r2")) & (F.col("edit") == F.col("e2")), F.lit(False))
     method = F.when(F.col("exact"), "exact").when(F.col("ratio") < least, "below_threshold").when(tied, "ambiguous").otherwise("fuzzy")
     return best.select("source_name", F.when(method.isin("exact", "fuzzy"), F.col("name")).alias("canonical"), method.alias("method"), F.round("ratio", 6).alias("ratio"))

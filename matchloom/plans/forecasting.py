@@ -184,22 +184,23 @@ def FN13_floor(spark, d):
 
 
 _B = 100
-_DRAW = "('0x' || substr(md5(b || ':' || k), 1, 8))::BIGINT"
-_DIFF = f"dif AS (SELECT row_number() OVER (ORDER BY md5(match_id::VARCHAR), match_id) - 1 AS k, count(*) OVER () AS n, (power(p_h - (y = 'H')::INT, 2) + power(p_h + p_d - (y = 'H')::INT - (y = 'D')::INT, 2)) / 2 - (power(m_h - (y = 'H')::INT, 2) + power(m_h + m_d - (y = 'H')::INT - (y = 'D')::INT, 2)) / 2 AS delta FROM m)"
+_DRAW = "('0x' || substr(md5(b || ':' || match_id), 1, 8))::BIGINT"
+_LOSS = "(power({0}_h - (y = 'H')::INT, 2) + power({0}_h + {0}_d - (y = 'H')::INT - (y = 'D')::INT, 2)) / 2"
+_DIFF = f"dif AS (SELECT match_id, {_LOSS.format('p')} - {_LOSS.format('m')} AS delta FROM m)"
 
 
-@query(f"WITH p AS ({PREDICTIONS_SQL}), {_MARKET}, {_DIFF}, w AS (SELECT b, k, {_DRAW} % 1000003 AS h FROM dif, range({_B}) g(b)), z AS (SELECT w.b, -ln((h + 1) / 1000004.0) AS wt, delta FROM w JOIN dif USING (k)) SELECT b, round(sum(wt * delta) / sum(wt), 6) AS mean_difference FROM z GROUP BY b")
+@query(f"WITH p AS ({PREDICTIONS_SQL}), {_MARKET}, {_DIFF}, z AS (SELECT b, -ln(({_DRAW} % 1000003 + 1) / 1000004.0) AS wt, delta FROM dif, range({_B}) g(b)) SELECT b, round(sum(wt * delta) / sum(wt), 6) AS mean_difference FROM z GROUP BY b")
 def ST2_bootstrap(spark, d):
     """Resampled mean loss differences between forecast and market, matches as clusters (ST1, ST2).
 
     Each resample weighs every match by an exponential variable from a hash of both (the Bayesian bootstrap), so no
-    table of draws is joined: a row is read once, weighed for each resample, and added up before any shuffle.
+    table of draws is joined and no match is numbered: a row is read once, weighed for each resample, and added up
+    before any shuffle.
     """
     m = with_market(predictions(spark, d))
     loss = lambda h, dr: rps(F.col(h), F.col(dr), F.col("y"))
-    k = F.row_number().over(Window.orderBy(F.md5(F.col("match_id").cast("string")), "match_id")) - 1
-    rows = m.select(k.alias("k"), (loss("p_h", "p_d") - loss("m_h", "m_d")).alias("delta")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(_B - 1))))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", "b", "k")), 1, 8), 16, 10).cast("long") % 1000003
+    rows = m.select("match_id", (loss("p_h", "p_d") - loss("m_h", "m_d")).alias("delta")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(_B - 1))))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "b", "match_id")), 1, 8), 16, 10).cast("long") % 1000003
     z = rows.withColumn("wt", -F.ln((h + 1) / 1000004.0))
     return z.groupBy("b").agg(F.round(F.sum(F.col("wt") * F.col("delta")) / F.sum("wt"), 6).alias("mean_difference"))
 
