@@ -1,4 +1,4 @@
 """All registered queries with their SQL."""
 
-from matchloom.plans import evaluation, forecasting, models, relational, stores  # noqa: F401
+from matchloom.plans import evaluation, forecasting, models, relational, stores, studies  # noqa: F401
 from matchloom.plans.registry import QUERIES, SQL  # noqa: F401
