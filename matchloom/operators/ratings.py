@@ -12,20 +12,47 @@ from pyspark.sql import functions as F
 ELO = {"start": 1500.0, "k": 20.0, "home": 70.0, "carry": 0.75, "newcomer": 50.0}
 PI = {"c": 3.0, "rate": 0.035, "gamma": 0.7}
 _NUMBERS = ["elo_home_pre", "elo_away_pre", "elo_expected_home", "pi_expected_gd"]
+_SCHEMA = "match_id long, " + ", ".join(f"{c} double" for c in _NUMBERS)
 
 
 def _goals(r: float) -> float:
     return math.copysign(10.0 ** (abs(r) / PI["c"]) - 1.0, r)
 
 
-def rate(matches: DataFrame) -> DataFrame:
+def rate(matches: DataFrame, elo: dict | None = None) -> DataFrame:
     """(match_id, elo_home_pre, elo_away_pre, elo_expected_home, pi_expected_gd): values before each match.
 
     A season's start pulls all known teams to their mean; after the first season a newcomer starts below the mean of
     those known, the home team first. The state of a league is one pair of numbers a team. Matches need match_id,
-    match_date, season, league, both team ids and scores.
+    match_date, season, league, both team ids and scores. `elo` replaces some of the fixed values.
+    """
+    fixed = ELO | (elo or {})
+    out = _rows(matches).groupBy("league").applyInPandas(_fold(fixed), _SCHEMA)
+    return out.select("match_id", *[F.round(c, 4).alias(c) for c in _NUMBERS])
+
+
+def rate_all(matches: DataFrame, grid: list[dict]) -> DataFrame:
+    """rate() under each of a list of settings, as (candidate, match_id, ...) from one job; candidate is the place in the list.
+
+    Candidates are spread within each row, and a league under one candidate is a task.
     """
 
+    def fold(m: pd.DataFrame) -> pd.DataFrame:
+        candidate = int(m.candidate.iloc[0])
+        return _fold(ELO | grid[candidate])(m).assign(candidate=candidate)
+
+    spread = _rows(matches).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+    out = spread.groupBy("candidate", "league").applyInPandas(fold, _SCHEMA + ", candidate int")
+    return out.select("candidate", "match_id", *[F.round(c, 4).alias(c) for c in _NUMBERS])
+
+
+def _rows(matches: DataFrame) -> DataFrame:
+    return matches.select("match_id", "match_date", "season", "league", "home_team_id", "away_team_id", "home_score", "away_score")
+
+
+def _fold(fixed: dict):
+    """The fold of one league's matches under given values."""
+
     def fold(m: pd.DataFrame) -> pd.DataFrame:
         m = m.sort_values(["match_date", "match_id"])
         elo: dict[int, float] = {}
@@ -36,18 +63,18 @@ def rate(matches: DataFrame) -> DataFrame:
             first = r.season if first is None else first
             if season is not None and r.season != season:
                 mean = sum(elo.values()) / len(elo)
-                elo = {t: ELO["carry"] * v + (1 - ELO["carry"]) * mean for t, v in elo.items()}
+                elo = {t: fixed["carry"] * v + (1 - fixed["carry"]) * mean for t, v in elo.items()}
             season = r.season
             for t in (r.home_team_id, r.away_team_id):
                 if t not in elo:
-                    elo[t] = ELO["start"] if season == first or not elo else sum(elo.values()) / len(elo) - ELO["newcomer"]
+                    elo[t] = fixed["start"] if season == first or not elo else sum(elo.values()) / len(elo) - fixed["newcomer"]
                     home_pi[t] = away_pi[t] = 0.0
             h, a = r.home_team_id, r.away_team_id
-            p = 1 / (1 + 10 ** (-(elo[h] + ELO["home"] - elo[a]) / 400))
+            p = 1 / (1 + 10 ** (-(elo[h] + fixed["home"] - elo[a]) / 400))
             goals = _goals(home_pi[h]) - _goals(away_pi[a])
             out.append((r.match_id, elo[h], elo[a], p, goals))
             won = 1.0 if r.home_score > r.away_score else 0.0 if r.home_score < r.away_score else 0.5
-            move = ELO["k"] * (won - p)
+            move = fixed["k"] * (won - p)
             elo[h], elo[a] = elo[h] + move, elo[a] - move
             error = r.home_score - r.away_score - goals
             step = PI["rate"] * math.copysign(PI["c"] * math.log10(1 + abs(error)), error)
@@ -55,6 +82,4 @@ def rate(matches: DataFrame) -> DataFrame:
             away_pi[a], home_pi[a] = away_pi[a] - step, home_pi[a] - PI["gamma"] * step
         return pd.DataFrame(out, columns=["match_id", *_NUMBERS])
 
-    rows = matches.select("match_id", "match_date", "season", "league", "home_team_id", "away_team_id", "home_score", "away_score")
-    out = rows.groupBy("league").applyInPandas(fold, "match_id long, " + ", ".join(f"{c} double" for c in _NUMBERS))
-    return out.select("match_id", *[F.round(c, 4).alias(c) for c in _NUMBERS])
+    return fold
