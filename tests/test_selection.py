@@ -1,5 +1,6 @@
 """Rules over columns and names, balancing geometry, shrunk trees, grids; a sample of queries against SQL."""
 
+import datetime as dt
 import math
 import os
 
@@ -12,6 +13,9 @@ from matchloom.functions.text import token_similarity
 from matchloom.operators import balancing, ratings, shrinkage
 from matchloom.operators.columns import resolve_groups
 from matchloom.operators.resolve import resolve
+from matchloom.operators.windows import running_max
+from matchloom.plans.balancing import training
+from matchloom.plans.forecasting import prematch
 from matchloom.plans.selection import SPACE, candidates
 from matchloom.sources.views import fixtures
 
@@ -119,3 +123,42 @@ def test_learners_give_sound_rows(spark):
     assert all(-5 <= r.ridge <= 5 for r in q["ML6_kernel_ridge"](spark, SF).collect())
     arms = {r.arm: r for r in q["ML13_ablation"](spark, SF).collect()}
     assert arms["full"].change == 0 and {"balanced", "without form", "without ratings", "without venue", "half of the matches"} < set(arms)
+
+
+def test_windows_of_a_team_at_both_venues(spark):
+    scores = [(10, 20, 2, 0), (20, 10, 1, 1), (10, 30, 0, 0), (30, 10, 2, 1), (10, 20, 3, 1)]
+    rows = [(i + 1, dt.date(2020, 1, 4) + dt.timedelta(days=7 * i), 2020, 1, *s) for i, s in enumerate(scores)]
+    f = spark.createDataFrame(rows, "match_id long, match_date date, season int, league int, home_team_id int, away_team_id int, home_score int, away_score int")
+    got = {r.match_id: r for r in prematch(f).collect()}
+    last = got[5]
+    assert last.home_form_points == pytest.approx((3 + 1 + 1 + 0) / 4) and last.home_rest_days == 7
+    assert last.home_venue_points == pytest.approx((3 + 1) / 2) and last.home_h2h_points == pytest.approx((3 + 1) / 2)
+    assert [got[1].home_played_prior, got[2].away_played_prior, got[3].home_played_prior, got[4].away_played_prior, last.home_played_prior] == [0, 1, 2, 3, 4]
+
+
+def test_a_clock_that_falls_back_is_held(spark):
+    rows = spark.createDataFrame(list(zip([1] * 8, range(8), [0, 5, 8, 10, 10, 0, 20, 40])), "match_id int, idx int, minute int")
+    eff = rows.select("idx", running_max("minute", ["match_id"], ["idx"]).alias("e")).orderBy("idx")
+    assert [r.e for r in eff.collect()] == [0, 5, 8, 10, 10, 10, 20, 40]
+
+
+def test_synthetic_rows_fill_their_class_and_stay_near(spark):
+    rows = {(r.season, r.league, r.y): r for r in training(spark, SF).groupBy("season", "league", "y").agg(F.first("n").alias("n"), F.first("need").alias("need")).collect()}
+    cell = {r.match_id: (r.season, r.league, r.y) for r in training(spark, SF).collect()}
+    made = __spark_entry__.queries()["PR11_geometric"](spark, SF).collect()
+    counts = {}
+    for r in made:
+        counts[cell[r.match_id]] = counts.get(cell[r.match_id], 0) + 1
+        assert r.q in (1, 2, 3, 4) and r.radius >= 0 and all(map(math.isfinite, (r.odds_h, r.odds_a)))
+    assert made and counts == {k: r.need for k, r in rows.items() if r.need > 0 and r.n > 1}
+
+
+def test_new_operators_take_empty_tables(spark):
+    f = spark.createDataFrame([], "match_id long, match_date date, season int, league int, home_team_id int, away_team_id int, home_score int, away_score int")
+    assert ratings.rate_all(f, [{}]).isEmpty()
+    none = spark.createDataFrame([], "source_name string, name string")
+    assert resolve(none.select("source_name"), none.select("name"), token_similarity).isEmpty()
+    one = spark.createDataFrame([("a",)], "source_name string")
+    assert [tuple(r) for r in resolve(one, none.select("name"), token_similarity).collect()] == [("a", None, "below_threshold", 0.0)]
+    rows = spark.createDataFrame([], "id long, g int, y string, x double")
+    assert balancing.short_of(rows, ["g"], "y").isEmpty()
