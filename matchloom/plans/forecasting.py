@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -262,11 +260,11 @@ def ML4_multinomial_logit(spark, d):
 @query("SELECT match_id, CAST(t AS INT) AS t, count_if(day(ts) - 1 <= t) AS events, count_if(day(ts) - 1 <= t AND event_type = 'purchase') AS purchases FROM (SELECT user_id AS match_id, ts, event_type FROM events), range(0, 31, 5) g(t) GROUP BY 1, 2")
 def ES10_stream_prefix(spark, d):
     """Prefix counts kept as events arrive; each match's last rows equal the batch result."""
-    return live.drained(live.prefix_state(live.read_events(spark, d)), "prefix_" + uuid.uuid4().hex, "update").groupBy("match_id", "t").agg(F.max("events").alias("events"), F.max("purchases").alias("purchases"))
+    return live.drained(live.prefix_state(live.read_events(spark, d)), "update").groupBy("match_id", "t").agg(F.max("events").alias("events"), F.max("purchases").alias("purchases"))
 
 
 @query("SELECT cast(date_trunc('day', ts) AS date) - k::INT AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events, range(2) g(k) GROUP BY 1, 2")
 def ES11_stream_windows(spark, d):
     """Sliding windows of two days over the stream, each event once."""
-    w = live.drained(live.sliding_counts(live.read_events(spark, d)), "windows_" + uuid.uuid4().hex, "complete")
+    w = live.drained(live.sliding_counts(live.read_events(spark, d)), "complete")
     return w.select(F.col("w.start").cast("date").alias("day"), "event_type", "n", F.round(F.col("total").cast("double"), 2).alias("total"))

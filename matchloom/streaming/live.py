@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from matchloom.sources.files import shared_folder
+
 
 def read_events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     """The events table as a stream; its timestamps are in UTC."""
@@ -34,26 +37,34 @@ def prefix_state(events: DataFrame, step: int = 5) -> DataFrame:
     cells = 31 // step + 2
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        n, b = (list(x) for x in s.get) if s.exists else ([0] * cells, [0] * cells)
+        n, b = (np.array(x, dtype=np.int64) for x in s.get) if s.exists else np.zeros((2, cells), dtype=np.int64)
         for pdf in batches:
-            cell = -(-(pdf["minute"]) // step)
-            for c, t in zip(cell, pdf["event_type"]):
-                n[int(c)] += 1
-                b[int(c)] += t == "purchase"
-        s.update((n, b))
-        rows, total, bought = [], 0, 0
-        for c in range(cells - 1):
-            total, bought = total + n[c], bought + b[c]
-            rows.append((key[0], c * step, total, bought))
-        yield pd.DataFrame(rows, columns=["match_id", "t", "events", "purchases"])
+            cell = (-(-pdf["minute"] // step)).to_numpy(dtype=np.int64)
+            n = n + np.bincount(cell, minlength=cells)
+            b = b + np.bincount(cell[(pdf["event_type"] == "purchase").to_numpy()], minlength=cells)
+        s.update((n.tolist(), b.tolist()))
+        upto = slice(0, cells - 1)
+        yield pd.DataFrame({"match_id": key[0], "t": np.arange(cells - 1) * step, "events": n.cumsum()[upto], "purchases": b.cumsum()[upto]})
 
     rows = events.select(F.col("user_id").alias("match_id"), (F.day("ts") - 1).alias("minute"), "event_type")
     return rows.groupBy("match_id").applyInPandasWithState(update, out, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that the stream has to give now, as a table."""
-    spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All that the stream has to give now, as a table: every update of an update stream, the last state of a complete one.
+
+    Each batch is written from the executors to a folder of its own in the shared folder, so a batch that is run again
+    replaces its rows and nothing goes through the driver. A stream without data gives an empty table.
+    """
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    keep(spark.createDataFrame([], stream.schema), -1)
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
