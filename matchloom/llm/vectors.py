@@ -18,11 +18,9 @@ from matchloom.llm.components import connected_components, local_roots
 LIST_ROWS, LEAST_LISTS, MOST_LISTS = 192, 8, 4_096
 #: Vectors of the sample for each list; the index is fitted on LIST_SAMPLE * MOST_LISTS at most, and holds every vector.
 LIST_SAMPLE = 16
-#: Lists that a vector searches besides its own: those whose border is nearest, and within reach.
-PROBES = 16
 #: Subspaces of a residual, codewords of each, rounds of k-means.
 SUBSPACES, CODEWORDS, ROUNDS = 8, 32, 8
-#: Members of a list, and searches of it, that one task holds together.
+#: Members of a bundle of neighbouring lists, and searches of it, that one task holds together.
 BLOCK, SEARCHES = 2_048, 8_192
 SEED = 11
 
@@ -33,6 +31,18 @@ class Index:
     lists: np.ndarray  # (n, dim)
     codes: np.ndarray  # (SUBSPACES, CODEWORDS, ceil(dim / SUBSPACES))
     reach: float  # the largest distance of two unit vectors of the wanted cosine
+    bundles: np.ndarray  # the first list of each bundle
+
+    def within(self, x: np.ndarray, home: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Which of the lists from low to high each vector searches: its own, and later ones whose border is within reach.
+
+        The border is the plane between both centres. All that a list holds lies beyond it, so no partner is lost.
+        """
+        at, own = self.lists[low:high], self.lists[home]
+        d = (at**2).sum(1)[None] - 2 * x @ at.T - ((own**2).sum(1) - 2 * (x * own).sum(1))[:, None]
+        gaps = np.sqrt(np.maximum(0, (own**2).sum(1)[:, None] + (at**2).sum(1)[None] - 2 * own @ at.T))
+        place = np.arange(low, high)[None]
+        return (place == home[:, None]) | ((place > home[:, None]) & (d <= 2 * self.reach * gaps + 1e-9))
 
     def parts(self, x: np.ndarray) -> np.ndarray:
         """Residuals (n, dim) cut into subspaces (n, SUBSPACES, width), filled up with zeros."""
@@ -64,56 +74,65 @@ def lists_for(rows: int) -> int:
     return min(max(rows // LIST_ROWS, LEAST_LISTS), MOST_LISTS)
 
 
+def _chain(lists: np.ndarray) -> np.ndarray:
+    """An order of the lists in which each is followed by the nearest that is left."""
+    order, free = [0], np.ones(len(lists), bool)
+    size = (lists**2).sum(1)
+    for _ in range(len(lists) - 1):
+        free[order[-1]] = False
+        order.append(int(np.where(free, size - 2 * lists @ lists[order[-1]], np.inf).argmin()))
+    return np.array(order)
+
+
 def fit(sample: np.ndarray, rows: int, cosine: float) -> Index:
     """An index for `rows` vectors from a sample of unit vectors."""
     rng = np.random.default_rng(SEED)
     dim = sample.shape[1]
     lists = _kmeans(sample, lists_for(rows), rng)
+    lists = lists[_chain(lists)]
     near = ((lists**2).sum(1)[None] - 2 * sample @ lists.T).argmin(1)
     width = -(-dim // SUBSPACES)
-    index = Index(dim, lists, np.zeros((SUBSPACES, CODEWORDS, width)), math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6)
+    before = np.cumsum(np.bincount(near, minlength=len(lists))) * rows // (len(sample) * BLOCK)
+    bundles = np.flatnonzero(np.concatenate(([True], before[:-1] != np.concatenate(([0], before[:-2])))))
+    index = Index(dim, lists, np.zeros((SUBSPACES, CODEWORDS, width)), math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6, bundles)
     p = index.parts(sample - lists[near])
     index.codes = np.stack([_kmeans(p[:, m], CODEWORDS, rng) for m in range(SUBSPACES)])
     return index
 
 
-def links_in_list(index: Index, at: int, members: pd.DataFrame, searches: pd.DataFrame, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (search, member) of all pairs of at least the wanted cosine.
+def pairs_of(index: Index, x: np.ndarray, home: np.ndarray, code: np.ndarray, left: np.ndarray, q: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (search in q, member in x) of all pairs of at least the wanted cosine.
 
-    A table of distances from a search's residual to each codeword gives distances to all members by look-ups. A
+    The distance from a search to what a member's list and code stand for is one product for all members of a block. A
     member's true distance differs from that by no more than what its code leaves out, so no pair is lost; those that
-    pass get their exact cosine.
+    pass get their exact cosine, by one product where they are many.
     """
-    x, q = np.stack(members.unit.to_numpy()), np.stack(searches.unit.to_numpy())
-    code = np.frombuffer(b"".join(members.code), np.uint8).reshape(-1, SUBSPACES)
-    limit = np.square(index.reach + members.left.to_numpy()).astype(np.float32)
-    found_q, found_x = [], []
-    step = max(1, 1_000_000 // max(1, len(x)))
+    known = index.lists[home] + np.concatenate([index.codes[m][code[:, m]] for m in range(SUBSPACES)], 1)[:, : index.dim]
+    # 1 + |known|^2 - 2 q.known <= (reach + left)^2
+    least = ((1 + (known**2).sum(1) - np.square(index.reach + left)) / 2 - 1e-5).astype(np.float32)
+    known = np.ascontiguousarray(known.T, np.float32)
+    step = max(1, 2_000_000 // max(1, len(x)))
     for s in range(0, len(q), step):
-        p = index.parts(q[s : s + step] - index.lists[at])
-        tables = ((p[:, :, None, :] - index.codes[None]) ** 2).sum(3).astype(np.float32)
-        d = tables[:, 0].take(code[:, 0], axis=1)
-        for m in range(1, SUBSPACES):
-            d += tables[:, m].take(code[:, m], axis=1)
-        a, b = np.nonzero(d <= limit[None, :] + 1e-5)
-        for t in range(0, len(a), 200_000):
-            i, j = a[t : t + 200_000] + s, b[t : t + 200_000]
-            on = np.einsum("ij,ij->i", q[i], x[j]) >= cosine
-            found_q.append(i[on])
-            found_x.append(j[on])
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(found_q or none), np.concatenate(found_x or none)
+        part = q[s : s + step]
+        near = part.astype(np.float32) @ known >= least[None, :]
+        if np.count_nonzero(near) * 32 > near.size:
+            a, b = np.nonzero(near & (part @ x.T >= cosine))
+        else:
+            a, b = np.nonzero(near)
+            on = np.einsum("ij,ij->i", part[a], x[b]) >= cosine
+            a, b = a[on], b[on]
+        yield a + s, b
 
 
 def near_vectors(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.95) -> DataFrame:
     """id, n_links, component_id, kept: one row for each row, linked with all others of a cosine of `cosine` or more.
 
     Equal vectors are one node of the index; they are linked with each other, and their number counts in n_links. A
-    vector searches its own list and the PROBES others to whose border (the plane between both centres) it is nearest;
-    lists whose border is out of reach cannot hold a partner. A link is found if either end searches the other's
-    list, and is counted once. Recall against brute force is tested; no link is below `cosine`. Vectors that are null, zero, or hold null or
+    vector searches every list that can hold a partner, with no limit on their number: its own, and later ones whose
+    border (the plane between both centres) is within reach. No link is lost, and each is found once. Neighbouring
+    lists make a bundle, to which a vector goes once. Vectors that are null, zero, or hold null or
     non-finite components, or are not of the most frequent length, link with nothing; their component_id is their id.
-    Rows of one id count as two vectors. Long lists are dealt out in blocks.
+    Rows of one id count as two vectors. Long bundles are dealt out in blocks.
     """
     spark = df.sparkSession
     v = F.col("vec")
@@ -142,53 +161,53 @@ def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float) -> Da
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = sent.value
-        gaps = np.sqrt(np.maximum(0, (ix.lists**2).sum(1)[:, None] + (ix.lists**2).sum(1)[None] - 2 * ix.lists @ ix.lists.T))
+        ends = [*ix.bundles[1:].tolist(), len(ix.lists)]
         for b in batches:
             x = np.stack(b.vec.to_numpy())
             x = x / np.abs(x).max(1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            d = 1 + (ix.lists**2).sum(1)[None] - 2 * x @ ix.lists.T
-            home = d.argmin(1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                border = (d - np.take_along_axis(d, home[:, None], 1)) / (2 * gaps[home])
-            border[np.arange(len(x)), home] = -1
-            border[~(border <= ix.reach)] = np.inf
-            near = np.argpartition(border, min(PROBES, border.shape[1] - 1), axis=1)[:, : PROBES + 1]
-            lists = [np.sort(c[np.isfinite(r[c])]).astype(np.int32) for r, c in zip(border, near)]
+            home = (1 + (ix.lists**2).sum(1)[None] - 2 * x @ ix.lists.T).argmin(1)
+            some = np.stack([ix.within(x, home, low, high).any(1) for low, high in zip(ix.bundles.tolist(), ends)], 1)
+            bundle = np.searchsorted(ix.bundles, home, "right") - 1
             code, left = ix.quantise(x - ix.lists[home])
-            yield pd.DataFrame({"node": b.node, "copies": b.copies, "unit": list(x), "home": home, "code": [c.tobytes() for c in code], "left": left, "visits": lists})
+            visits = [np.flatnonzero(r).astype(np.int32) for r in some]
+            yield pd.DataFrame({"node": b.node, "copies": b.copies, "unit": [r.tobytes() for r in x], "home": home, "bundle": bundle, "code": [c.tobytes() for c in code], "left": left, "visits": visits})
 
-    kinds = "node long, copies long, unit array<double>, home int, code binary, left double, visits array<int>"
+    kinds = "node long, copies long, unit binary, home int, bundle int, code binary, left double, visits array<int>"
     placed = cut(nodes.select("node", "copies", "vec").mapInPandas(place, kinds))
-    load = placed.groupBy(F.col("home").alias("at")).agg(F.count(F.lit(1)).alias("members"))
+    load = placed.groupBy(F.col("bundle").alias("at")).agg(F.count(F.lit(1)).alias("members"))
     load = load.join(placed.select(F.explode("visits").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("searches")), "at")
     load = load.select("at", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("searches") / SEARCHES).cast("int").alias("turns"))
-    load = F.broadcast(cut(load))  # a row for each list
+    load = F.broadcast(cut(load))  # a row for each bundle
     block = lambda c, k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = placed.join(load, placed.home == load["at"]).select(F.lit(0).alias("role"), "at", block("blocks", 1).alias("block"), every("turns").alias("turn"), "node", "copies", "home", "visits", "unit", "code", "left")
-    searches = placed.withColumn("at", F.explode("visits")).join(load, "at").select(F.lit(1).alias("role"), "at", every("blocks").alias("block"), block("turns", 2).alias("turn"), "node", "copies", "home", "visits", "unit", "code", "left")
+    members = placed.join(load, placed.bundle == load["at"]).select(F.lit(0).alias("role"), "at", block("blocks", 1).alias("block"), every("turns").alias("turn"), "node", "copies", "home", "unit", "code", "left")
+    none = [F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("left")]
+    searches = placed.withColumn("at", F.explode("visits")).join(load, "at").select(F.lit(1).alias("role"), "at", every("blocks").alias("block"), block("turns", 2).alias("turn"), "node", "copies", "home", "unit", *none)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         ix, at = sent.value, int(group["at"].iloc[0])
         m, q = group[group.role == 0], group[group.role == 1]
         if m.empty or q.empty:
             return pd.DataFrame({"node": [], "links": [], "root": []})
-        a, b = links_in_list(ix, at, m, q, cosine)
-        qn, mn, home = q.node.to_numpy(), m.node.to_numpy(), q.home.to_numpy()
-        # within the search's own list each pair shows up from both ends; others do where either searches the other's list
-        visits = m.visits.to_numpy()
-        both = np.array([h in visits[j] for h, j in zip(home[a].tolist(), b.tolist())], bool)
-        on = np.where(home[a] == at, qn[a] < mn[b], ~both | (at < home[a]))
-        a, b = a[on], b[on]
+        x, y = (np.frombuffer(b"".join(g.unit), np.float64).reshape(len(g), ix.dim) for g in (m, q))
+        code, left, home = np.frombuffer(b"".join(m.code), np.uint8).reshape(len(m), SUBSPACES), m.left.to_numpy(), m.home.to_numpy()
+        qn, mn, qc, mc = q.node.to_numpy(), m.node.to_numpy(), q.copies.to_numpy(), m.copies.to_numpy()
+        own = q.home.to_numpy()
         names, inverse = np.unique(np.concatenate((qn, mn)), return_inverse=True)
-        ia, ib = inverse[: len(qn)][a], inverse[len(qn) :][b]
-        links = np.zeros(len(names), np.int64)
-        np.add.at(links, ia, m.copies.to_numpy()[b])
-        np.add.at(links, ib, q.copies.to_numpy()[a])
-        root = names[local_roots(len(names), ia, ib)]
-        on = links > 0
-        return pd.DataFrame({"node": names[on], "links": links[on], "root": root[on]})
+        iq, im = inverse[: len(qn)], inverse[len(qn) :]
+        n_links, root = np.zeros(len(names), np.int64), np.arange(len(names))
+        for a, b in pairs_of(ix, x, home, code, left, y, cosine):
+            # a pair of two lists is the earlier one's search; within a list each pair shows up from both ends
+            on = (own[a] < home[b]) | ((own[a] == home[b]) & (qn[a] < mn[b]))
+            ia, ib = iq[a[on]], im[b[on]]
+            np.add.at(n_links, ia, mc[b[on]])
+            np.add.at(n_links, ib, qc[a[on]])
+            apart = root[ia] != root[ib]
+            if apart.any():
+                root = local_roots(len(names), root[ia[apart]], root[ib[apart]])[root]
+        on = n_links > 0
+        return pd.DataFrame({"node": names[on], "links": n_links[on], "root": names[root][on]})
 
     tasks = members.unionByName(searches).repartition(partitions(spark), "at", "block", "turn")
     found = cut(tasks.groupBy("at", "block", "turn").applyInPandas(search, "node long, links long, root long"))

@@ -182,6 +182,18 @@ def test_vectors_by_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(900, 905))
 
 
+def test_vectors_of_one_dense_cluster(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_ROWS", 24)  # about 125 of 375 lists share the cluster
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9_000, 16))
+    x[:3_000] = x[0] / np.linalg.norm(x[0]) + rng.normal(scale=0.045, size=(3_000, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i long, v array<double>")
+    rows = vectors.near_vectors(df, "i", "v").collect()
+    assert len(rows) == len(x) and all(r.n_links == near[r.i] for r in rows)
+
+
 def test_language_id_held_out(spark, docs):
     langs = dict(docs.select("doc_id", "lang").collect())
     rows = [r for r in QUERIES["op9_language_id"](spark, SF).collect() if r.held_out]
