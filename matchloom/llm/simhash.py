@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -179,10 +180,10 @@ def near_dedup(df: DataFrame, id_col: str, text_col: str, words: int = 5, bits:
 
 #: Minima of a signature, and how many in a row make a key of candidates: at a similarity of 0.8, 997 in 1,000 pairs share one.
 MINIMA, RUN = 256, 8
-#: Groups of candidates up to which all pairs are compared; in larger ones each goes with the first and its Gray neighbour.
-PAIRED = 16
-#: What sampling errors of the estimated similarity are given: 1.6 standard deviations at 0.8.
-SLACK = 0.04
+#: Groups of candidates whose pairs are listed at once; larger ones are compared block by block, of so many texts each.
+PAIRED, BLOCK = 16, 1_024
+#: Estimates this far from the wanted similarity, four standard deviations at 0.8, are decided; the shingles decide between.
+SLACK = 0.1
 _MIX = np.random.default_rng(3).integers(1, 1 << 63, (2, MINIMA), dtype=np.uint64) | np.uint64(1)
 
 
@@ -203,24 +204,31 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
     """(id, component_id), one row for each row, for texts whose sets of word shingles are `similarity` alike or more.
 
     A 64-bit SimHash of texts that are 0.8 alike differs in 5 to 17 bits, as that of many that are not, and no index
-    finds such distances without comparing most pairs. Candidates therefore share a run of a signature's minima; in a
-    group they are in the Gray order of their SimHash. Signatures estimate the similarity of each candidate pair, with
-    a slack of SLACK. Equal signatures are one node. Texts without a word are copies of each other. Null ids get the
-    smallest non-null id of their group. An empty table gives no rows.
+    finds such distances without comparing most pairs. Candidates therefore share a run of a signature's minima; 3 in
+    1,000 pairs of 0.8 share none. All pairs of a group are decided: signatures estimate the similarity, and within
+    SLACK of `similarity` the sets of shingle hashes decide. In groups above PAIRED, texts that the first of the group
+    and the Gray order of the SimHash have tied already are not compared with each other. Equal sets are one node.
+    Texts without a word are copies of each other. Null ids get the smallest non-null id of their group. An empty
+    table gives no rows.
     """
     spark = df.sparkSession
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, sig = [], []
-            for t in batch.column(1):
-                h = shingle_hashes(t.as_py(), words)
-                fp.append(simhash(h))
-                sig.append(signature(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sig, pa.binary())], names=["id", "fp", "sig"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                fp, node, sig, shingles = [], [], [], []
+                for t in batch.column(1):
+                    h = shingle_hashes(t.as_py(), words)
+                    fp.append(simhash(h))
+                    sig.append(signature(h))
+                    shingles.append(np.unique(h).tobytes())
+                    node.append(xxhash.xxh64_intdigest(shingles[-1]) >> 4)
+                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(shingles, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "fp", "node", "sig", "shingles"])
 
     inner = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = cut(inner.mapInArrow(sketch, inner.drop("text").schema.add("fp", "long").add("sig", "binary")).withColumn("node", F.conv(F.substring(F.md5("sig"), 1, 15), 16, 10).cast("long")))
+    docs = cut(inner.mapInArrow(sketch, inner.drop("text").schema.add("fp", "long").add("node", "long").add("sig", "binary").add("shingles", "binary")))
     nodes = docs.groupBy("node").agg(F.min("id").alias("low"), F.min("fp").alias("fp"), F.min("sig").alias("sig"))
     nodes = cut(nodes)
 
@@ -253,7 +261,9 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
             x = np.flatnonzero(~small & (np.arange(len(key)) > first + 1))
             a, b = node[np.concatenate((*i, first[x]))], node[np.concatenate((*j, x))]
             both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            large = np.concatenate((np.zeros(len(both), bool), np.ones(np.count_nonzero(~small), bool)))
+            a, b = np.concatenate((both[:, 0], key[~small])), np.concatenate((both[:, 1], node[~small]))
+            return pa.RecordBatch.from_arrays([pa.array(large), pa.array(a), pa.array(b)], names=["large", "a", "b"])
 
         for batch in batches:
             held = [np.concatenate((h, batch.column(k).to_numpy())) for k, h in enumerate(held)]
@@ -265,7 +275,8 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
 
     rows = nodes.select("node", "fp", "sig").mapInArrow(runs, "key long, node long, fp long")
     rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    candidates = rows.mapInArrow(pairs, "a long, b long").distinct()
+    rows = cut(rows.mapInArrow(pairs, "large boolean, a long, b long"))  # pairs, or key and node of a large group
+    candidates = rows.where("NOT large").select("a", "b").distinct()
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"{c}_sig"))
     both = candidates.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_sig", "b_sig")
 
@@ -273,14 +284,80 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, MINIMA) for k in (2, 3))
-                on = pa.array((x == y).mean(1) >= similarity - SLACK)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], names=["a", "b"])
-
-    roots = connected_components(both.mapInArrow(alike, "a long, b long")).withColumnRenamed("node", "n")
+                share = (x == y).mean(1)
+                on = pa.array(share >= similarity - SLACK)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on), pa.array(share >= similarity + SLACK).filter(on)], names=["a", "b", "sure"])
+
+    judged = cut(both.mapInArrow(alike, "a long, b long, sure boolean"))
+    large = rows.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    if not large.isEmpty():
+        judged = cut(judged.union(_large_groups(large, judged.where("sure"), nodes.select("node", "sig"), similarity)))
+    unsure = judged.where("NOT sure").select("a", "b").distinct()
+    ends = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = docs.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                on.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            on = pa.array(on, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], names=["a", "b"])
+
+    decided = unsure.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(decide, "a long, b long")
+    roots = connected_components(judged.where("sure").select("a", "b").union(decided)).withColumnRenamed("node", "n")
     tied = nodes.select("node", "low").join(roots, F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node"))
     least = tied.groupBy("root").agg(F.min("low").alias("component_id"))
     return docs.select("id", "node").join(tied.join(least, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
 
 
+def _large_groups(large: DataFrame, sure: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sure) for the pairs of large groups (key, node) that `sure` does not tie: a forest of the sure, and all unsure ones.
+
+    A component of BLOCK texts or more of a group has blocks of its own, the others share blocks; each pair of blocks
+    is one task, but for those of one component.
+    """
+    roots = connected_components(sure.select("a", "b"))
+    large = cut(large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    own = F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(-1)  # nodes are not negative
+    sizes = cut(large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).withColumn("own", own))
+    marks = cut(sizes.groupBy("key", "own").agg(F.count(F.lit(1)).alias("roots"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")))
+    name = lambda part: F.concat_ws(":", F.col("own").cast("string"), part.cast("string"))
+    blocks = marks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "own", "roots", name(F.col("part")).alias("i"))
+    tasks = blocks.join(blocks.select("key", F.col("own").alias("other"), F.col("i").alias("j")), "key").where("i <= j AND (own <> other OR own = -1 AND roots > 1)")
+    tasks = tasks.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    members = large.join(sizes.select("key", "root", "own"), ["key", "root"]).join(marks.select("key", "own", "parts"), ["key", "own"])
+    members = members.select("key", "node", "root", name(F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    dealt = members.join(tasks, ["key", "block"]).join(sigs, "node").select("key", "i", "j", (F.col("block") == F.col("i")).alias("first"), "node", "root", "sig")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(group.sig), "<u2").reshape(-1, MINIMA)
+        node, root, first = group.node.to_numpy(), group.root.to_numpy(), group["first"].to_numpy(bool)
+        same = group.i.iloc[0] == group.j.iloc[0]
+        start, stop = (np.arange(len(x)), None) if same else (np.flatnonzero(first), np.flatnonzero(~first))
+        tie = np.unique(root, return_inverse=True)[1]
+        found_a, found_b, found_sure = [], [], []
+        for i in start:
+            j = np.arange(i + 1, len(x)) if same else stop
+            j = j[tie[j] != tie[i]]
+            share = (x[j] == x[i]).mean(1)
+            on = share >= similarity - SLACK
+            j, certain = j[on], share[on] >= similarity + SLACK
+            for t in np.unique(tie[j[certain]]):
+                k = j[certain][tie[j[certain]] == t][0]
+                found_a.append(i), found_b.append(k), found_sure.append(True)
+                tie[tie == t] = tie[i]
+            for k in j[~certain]:
+                if tie[k] != tie[i]:
+                    found_a.append(i), found_b.append(k), found_sure.append(False)
+        a, b = node[np.array(found_a, np.int64)], node[np.array(found_b, np.int64)]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.array(found_sure, bool)})
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, sure boolean")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, bits=2)

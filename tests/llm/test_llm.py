@@ -117,6 +117,27 @@ def test_simhash_components(docs, spark):
     assert {r.doc_id: r.component_id for r in rows} == root
 
 
+def test_near_copies_in_one_boilerplate_group(spark):
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    common = [word() for _ in range(120)]
+    texts = [common + [word() for _ in range(30)] for _ in range(400)]
+    for i in range(200, 400):  # near copies of the first half, at and about 0.8
+        n = random.randint(10, 24)
+        texts[i] = texts[i - 200][: 150 - n] + [word() for _ in range(n)]
+    sets = [set(zip(*(t[k:] for k in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    rows = simhash.near_copies(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "doc_id", "text").collect()
+    got = {r.doc_id: r.component_id for r in rows}
+    wrong = [i for i in got if got[i] != root[i]]
+    assert len(got) == len(texts) and len(wrong) <= 2, wrong  # 3 in 1,000 pairs of 0.8 are no candidates
+
+
 def test_index_links_all_near_words():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
