@@ -15,16 +15,16 @@ ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 #: Candidate strings of the entropy scan, and the characters of its window.
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_-]{20,}={0,2}", 20
-#: Least entropy in bits a character, by the character class of a candidate: the first whose pattern fits all of it.
-CLASSES = ((r"[0-9]+", 9.0), (r"[0-9a-fA-F]+", 3.2), (r"[0-9a-z]+|[0-9A-Z]+", 3.6), (r".*[0-9].*", 3.9), (r".*", 9.0))
-#: Candidates that are no secrets: digests named as such by UUID form, paths, placeholders, runs of one character.
-ALLOW = (
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?i).*(example|placeholder|xxxx|your[_-]).*",
-    r".*/.*/.*/.*",
-    r".*(.)\1{7}.*",
-    r"[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{0,4}",
-)
+#: Least entropy in bits a character, by the character class of a piece with digits: the first whose pattern fits all of it.
+CLASSES = ((r"[0-9]+", 2.6), (r"[0-9a-fA-F]+", 3.2), (r"[0-9a-z]+|[0-9A-Z]+", 3.6), (r".*", 3.9))
+#: For names and pieces without a digit: least entropy, and changes between small and capital letters, of one window.
+LETTERS, CHANGES = 3.8, 6
+#: Pieces that are no secrets, and names.
+UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+NAMES = r"[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{0,4}"
+#: What cuts a candidate into pieces: placeholders with 40 characters on either side, runs of one character; names in a path.
+GAPS = (r"(?i).{0,40}(?:example|placeholder|xxxx|your[_-]).{0,40}", r"(.)\1{7,}")
+PATH, STEP = r"^[^/]*/[^/]*/[^/]*/", r"(?<![^/])(?=[^/]{1,19}(?:/|$))[A-Za-z]*[0-9]*(?:[_-][A-Za-z]*[0-9]*)*(?![^/])"
 
 
 def _spans(text: Column, pattern: str, keep) -> Column:
@@ -71,23 +71,38 @@ def window_entropy(s: Column, window: int = WINDOW) -> Column:
     return F.aggregate(steps, zero, step, lambda acc: acc["best"])
 
 
-def _is_secret(s: Column) -> Column:
+def _mixed_letters(s: Column) -> Column:
+    """Whether small and capital letters are mixed in a window as they are in no name."""
+
+    def random(i: Column) -> Column:
+        w = F.substring(s, i, F.lit(WINDOW))
+        return (F.regexp_count(w, F.lit("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")) >= CHANGES) & (window_entropy(w) >= LETTERS)
+
+    return F.when(s.rlike("(?:[a-z][^A-Z]*[A-Z][^a-z]*){3}"), F.exists(F.sequence(F.lit(1), F.length(s) - (WINDOW - 1)), random)).otherwise(F.lit(False))
+
+
+def _piece_is_secret(s: Column) -> Column:
     least = F.lit(None).cast("double")
     for pattern, bits in reversed(CLASSES):
         least = F.when(s.rlike(f"^(?:{pattern})$"), F.lit(bits)).otherwise(least)
-    allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | s.rlike(f"^(?:{pattern})$")
-    plain = least >= 9.0
-    return F.when(plain | allowed, F.lit(False)).otherwise(window_entropy(s) >= least)
+    plain = s.rlike(f"^(?:{NAMES})$") | ~s.rlike("[0-9]")
+    return F.when((F.length(s) < WINDOW) | s.rlike(f"^{UUID}$"), F.lit(False)).when(plain, _mixed_letters(s)).otherwise(window_entropy(s) >= least)
+
+
+def _is_secret(s: Column) -> Column:
+    t = F.when(s.rlike(PATH), F.regexp_replace(s, STEP, " ")).otherwise(s)
+    for pattern in GAPS:
+        t = F.regexp_replace(t, pattern, " ")
+    return F.exists(F.split(t, " "), _piece_is_secret)
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
     """One row for each row: id, spans (array of struct kind, start, end; code points, end exclusive), and `keep`.
 
     Pattern spans are leftmost and do not overlap within a kind; kinds may overlap. Entropy spans are added where a
-    candidate reaches the least entropy of its character class, is not on the allow list and overlaps no pattern
-    span. Null and empty texts have no spans; ids may repeat or be null.
+    piece of a candidate reaches the least entropy of its character class and the candidate overlaps no pattern span;
+    placeholders, runs of one character and a path's names only cut a candidate into pieces. Letters of one case are no
+    secrets, as entropy does not tell them from words; mixed ones are by their entropy and changes of case. Null and empty texts have no spans; ids may repeat or be null.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(text)

@@ -1,5 +1,6 @@
 """The text operators against brute force, and on nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -93,6 +94,20 @@ def test_secret_spans(spark, docs):
         assert got[d] == base(t), d
 
 
+def test_secrets_of_letters_and_long_base64(spark):
+    rng = random.Random(5)
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40)) for _ in range(100)]
+    long_ = [base64.b64encode(rng.randbytes(n)).decode() for n in range(75, 300, 2)] + ["b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW"]
+    digits = ["".join(rng.choice("0123456789") for _ in range(40)) for _ in range(50)]
+    plain = ["InternationalizationServiceFactoryBean", "/usr/local/lib/python3/site-packages/numpy/core", "donaudampfschifffahrtsgesellschaft", "your_key_A1b2C3d4E5f6G7h8I9j0", "A" * 40]
+    words = [*letters, *long_, *digits, *plain]
+    got = dict(secrets.scan(spark.createDataFrame(list(enumerate(words)), "i long, t string"), "i", "t").select("i", F.size("spans")).collect())
+    found = [got[i] > 0 for i in range(len(words))]
+    ends = np.cumsum([len(letters), len(long_), len(digits)])
+    assert np.mean(found[: ends[0]]) >= 0.95 and all(found[ends[0] : ends[1]]) and np.mean(found[ends[1] : ends[2]]) >= 0.95
+    assert not any(found[ends[2] :])
+
+
 def test_window_entropy(spark):
     random.seed(2)
     words = ["".join(random.choice("abcDEF0123") for _ in range(n)) for n in (5, 20, 37)] + ["a" * 30]
