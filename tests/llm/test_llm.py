@@ -250,3 +250,20 @@ def test_pipeline_on_odd_rows(spark, odd):
         assert docs.columns == corpus_pipeline.COLUMNS, name
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert {r.doc_id for r in docs.collect()} <= {1, None, 5}
+
+
+def test_pipeline_keeps_rows_of_null_and_shared_ids(spark):
+    rng = random.Random(1)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    t = [text() for _ in range(5)]
+    rows = [(None, t[0], None, "a", 1), (None, t[1], None, "a", 1), (7, t[2], None, "b", 1), (7, t[3], None, "b", 1), (8, t[3], None, "b", 1), (8, t[4], None, "b", 1), (8, t[4], None, "b", 1)]
+    docs = spark.createDataFrame([*rows, (9, "12 34", None, "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs.where("doc_id is null or doc_id < 9"), SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, t[0]), (0, t[1]), (7, t[2]), (7, t[3]), (8, t[4])])
+    want = {}
+    for r in mixing.mix(docs, "doc_id", "text", "source", mixing.WEIGHTS).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    got = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {k: n for k, n in want.items() if n} and None in got
