@@ -90,6 +90,8 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model = model
+        if not model.labels:
+            return
         a, b = np.divmod(np.arange(65536), 256)
         two, three, four = model.conv
         self.pairs = np.concatenate([two[0][a] + two[1][b], three[0][a] + three[1][b], four[0][a] + four[1][b], four[2][a] + four[3][b]], 1)

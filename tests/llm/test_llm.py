@@ -267,3 +267,9 @@ def test_pipeline_keeps_rows_of_null_and_shared_ids(spark):
     for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     assert got == {k: n for k, n in want.items() if n} and None in got
+
+
+def test_pipeline_without_labels(spark):
+    docs = spark.createDataFrame([(1, "Hello there", None, "a", 1), (None, "été", None, "b", 1), (2, "12 34", None, "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.identify_language(spark, docs, SF).collect()
+    assert sorted((r.text, r.lang) for r in got) == [("Hello there", "und"), ("été", "und")]
