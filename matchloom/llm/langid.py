@@ -120,7 +120,10 @@ class Tagger:
         cut = [windows(texts[i].encode()) for i in todo]
         p = self.probabilities(np.concatenate(cut))
         starts = np.cumsum([0, *map(len, cut)])[:-1]
-        mean = np.add.reduceat(p, starts, 0) / np.array([len(c) for c in cut])[:, None]
+        size = np.full(len(p), WINDOW, np.float64)
+        for i, at, c in zip(todo, starts, cut):  # the last window is filled up with zeros
+            size[at + len(c) - 1] = min(WINDOW, len(texts[i].encode()) - (len(c) - 1) * STEP)
+        mean = np.add.reduceat(p * size[:, None], starts, 0) / np.add.reduceat(size, starts)[:, None]
         for i, row in zip(todo, mean):
             k = int(row.argmax())
             said[i], score[i] = self.model.labels[k], float(min(1.0, row[k]))

@@ -273,3 +273,15 @@ def test_pipeline_without_labels(spark):
     docs = spark.createDataFrame([(1, "Hello there", None, "a", 1), (None, "été", None, "b", 1), (2, "12 34", None, "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.identify_language(spark, docs, SF).collect()
     assert sorted((r.text, r.lang) for r in got) == [("Hello there", "und"), ("été", "und")]
+
+
+def test_language_id_weighs_windows_by_bytes():
+    class Fixed(langid.Tagger):
+        def __init__(self):
+            self.model = langid.Model(["a", "b"], [], np.zeros(0), np.zeros(0))
+
+        def probabilities(self, rows):
+            return np.array([[0.6, 0.4], [0.0, 1.0]], np.float32)[: len(rows)]
+
+    said, score = Fixed().tag(["x" * 257])
+    assert said == ["a"] and score[0] == pytest.approx(256 * 0.6 / 260, abs=1e-6)
