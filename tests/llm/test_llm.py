@@ -111,13 +111,74 @@ def test_secrets_of_letters_and_long_base64(spark):
 def test_window_entropy(spark):
     random.seed(2)
     words = ["".join(random.choice("abcDEF0123") for _ in range(n)) for n in (5, 20, 37)] + ["a" * 30]
-    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.window_entropy(F.col("w"))).collect()
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.windows(F.col("w"))["entropy"]).collect()
     for w, e in got:
         parts = [w[i : i + 20] for i in range(len(w) - 19)]
         want = max((-sum(p.count(c) / 20 * np.log2(p.count(c) / 20) for c in set(p)) for p in parts), default=0)
         assert e == pytest.approx(want, abs=1e-9)
 
 
+def test_entropy_spans_and_gaps_by_brute_force(spark, docs):
+    def windows(s):
+        entropy, mixed = [0.0], [0.0]
+        for i in range(len(s) - 19):
+            w = s[i : i + 20]
+            e = -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
+            entropy.append(e)
+            if len(re.findall("(?=[a-z][A-Z]|[A-Z][a-z])", w)) >= secrets.CHANGES:
+                mixed.append(e)
+        return max(entropy), max(mixed)
+
+    def secret(s):
+        if re.search(secrets.PATH, s):
+            s = re.sub(secrets.STEP, " ", s)
+        for gap in secrets.GAPS:
+            s = re.sub(gap, " ", s)
+        for p in s.split(" "):
+            if len(p) >= 20 and not re.fullmatch(secrets.UUID, p):
+                k = next(k for k, (_, c, _) in enumerate(secrets.CLASSES) if re.fullmatch(c, p))
+                if windows(p)[k == secrets.NAMES] >= secrets.CLASSES[k][2] - 1e-9:
+                    return True
+        return False
+
+    rng = random.Random(8)
+    kinds = ["0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmNOPQRSTUVWXYZ", "abcdefghijklmNOPQRSTUVWXYZ0123456789+/", "abcdeABCDE_-", "aB1/"]
+    made = ["".join(rng.choice(k) for _ in range(rng.choice((19, 20, 23, 40, 90)))) for k in kinds for _ in range(40)]
+    words = [*made, "123e4567-e89b-12d3-a456-426614174000", "my-long-name-of-a-config-value-2024", "A" * 30, "example" + made[200], "/usr/local/lib/python3/site-packages", "/" + made[210] + "/b/c", "donaudampfschifffahrtsgesellschaft"]
+    texts = [(-i, f"é {w}, {w[:25]} token={w}") for i, w in enumerate(words, 1)]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id long, text string"))
+    some = classes = 0
+    for d, t, got in secrets.scan(every, "doc_id", "text").select("doc_id", "_text", "spans").collect():
+        base = [(s.start, s.end) for s in got if s.kind != "entropy"]
+        found = [m.span() for m in re.finditer(secrets.CANDIDATE, t) if secret(m[0])]
+        want = [x for x in found if not any(x[0] < b and a < x[1] for a, b in base)]
+        assert [(s.start, s.end) for s in got if s.kind == "entropy"] == want, d
+        some += len(want)
+        classes |= sum(1 << next(k for k, (_, c, _) in enumerate(secrets.CLASSES) if re.fullmatch(c, t[a:b])) for a, b in want[:1])
+    assert some > 100 and classes == 2 ** len(secrets.CLASSES) - 1  # the threshold of each class can be reached
+
+
+def test_redact_by_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["é ", "token=", "secret: ", "AKIA" + "B" * 20, "deadbeef" * 4, "abcdef9 ", "x "]) for _ in range(n)) for n in (0, 3, 40, 2_000)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    spans = {r.i: r.spans for r in secrets.scan(df, "i", "t").collect()}
+    for i, got in secrets.redact(df, "i", "t").select("i", "t").collect():
+        out, at = "", 0
+        for s in spans[i]:
+            if s.start >= at:
+                out += texts[i][at : s.start] + f"[{s.kind}]"
+            at = max(at, s.end)
+        assert got == (texts[i] if not spans[i] else out + texts[i][at:])
+
+
+def test_long_candidates_end(spark):
+    rng = random.Random(3)
+    texts = ["ab-" * 20_000 + "c1", "".join(rng.choice("ghijklGHIJKL0123456789") for _ in range(100_000)), "a-" * 50_000, "/usr/a_b/" * 10_000, " ".join(f"token=abcdef{i}" for i in range(5_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    assert [n for _, n in sorted(secrets.scan(df, "i", "t").select("i", F.size("spans")).collect())] == [0, 1, 0, 0, 5_000]
+
+
 def test_simhash_components(docs, spark):
     rows = QUERIES["op4_simhash"](spark, SF).collect()
     fps = {r.doc_id: int(r.fingerprint, 16) for r in rows}
