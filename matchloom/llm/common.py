@@ -45,6 +45,24 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner")
     return df.join(side, keys, how)
 
 
+#: Keys that are dealt out among all partitions at most, and the rows from which one is.
+HOT_KEYS, HOT_ROWS = 1_000, 1_000
+
+
+def attach_skewed(df: DataFrame, side: DataFrame, key: str, by: list[str], how: str = "inner") -> DataFrame:
+    """Join of df with a table of unique keys that tells in `n` how many rows of df have each of them.
+
+    Keys of more than 1 in HOT_KEYS of those rows, so no more than HOT_KEYS, are known to all tasks: their rows are dealt out
+    by a hash of the columns `by`, and the side's row is repeated for each part. `n` is dropped.
+    """
+    ways = partitions(df.sparkSession)
+    least = max(HOT_ROWS, (side.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(side.where(F.col("n") > least).select(key, F.lit(ways).alias("_ways")))
+    parted = df.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_ways", F.lit(1)))).drop("_ways")
+    parts = F.when(F.col("n") > least, F.expr(f"sequence(0L, {ways - 1}L)")).otherwise(F.expr("array(0L)"))
+    return parted.join(side.withColumn("_part", F.explode(parts)).drop("n"), [key, "_part"], how).drop("_part")
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with each row's place from 0 in the global order, and without a single-task sort.
 

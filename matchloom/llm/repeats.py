@@ -1,8 +1,9 @@
 """Suffix-array dedup: long repeats marked with a run-length index (run-compressed BWT with sampled run ends).
 
 A window is a string of `least` bytes. Each window picks its anchor: the 32 bytes in it whose hash is least. Equal
-windows pick equal anchors at the same place, so a window can only repeat within the group of its anchor's hash. The
-bytes around each anchor whose hash occurs again are gathered by that hash, trimmed to what another member can match,
+windows pick equal anchors at the same place, and hold the anchor with half of their other bytes before or after it: a
+window can only repeat in the group of that longer string's hash. The bytes around each such string that occurs again
+are its context. Equal contexts have one representative; those of a group are trimmed to what another member can match,
 and indexed together; matching statistics streamed from the index's sampled run ends mark the windows that repeat.
 """
 
@@ -16,24 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut, partitions, table
+from matchloom.llm.common import attach_skewed, cut, partitions, table
 
 #: Bytes of an anchor.
 GRAM = 32
 #: Texts are looked at in pieces of at most so many window starts.
 PIECE = 1 << 22
-#: Contexts of one anchor hash that a task gathers at most; the windows of others are counted by their digests.
-GROUP_ROWS = 20_000
-#: Contexts after which a task builds an index, at the next change of the anchor hash.
-INDEX_ROWS = 6_000
+#: Different contexts that a group is indexed with at most; a longer one is divided into its single windows.
+GROUP_ROWS = 4_000
+#: Contexts after which a task builds an index, at the next change of the group.
+INDEX_ROWS = 3_000
 _rng = np.random.default_rng(5)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _rng.integers(1, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def anchors(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first start, last start) of the anchors of all windows; the starts of a text are dealt out among them."""
+def anchors(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, place, first start) of the anchors of all windows; the starts of a text are dealt out among the k anchors.
+
+    keys has 2 k hashes. The first k stand for the windows with the half of the other bytes or more before the anchor,
+    and are those of that half and the anchor; the others of the anchor and the half after it. 0: no such window.
+    """
+    half = (least - GRAM) // 2
+    at_core = [*range(0, half, GRAM), half]  # strings of GRAM bytes that cover both
     out = [[np.zeros(0, np.int64)] * 4]
     width = least - GRAM + 1
     for at in range(0, len(text) - least + 1, PIECE):
@@ -55,8 +62,26 @@ def anchors(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         last = np.append(first[1:], len(place)) - 1
         place = place[first]
-        out.append([h[place].view(np.int64), place + at, first + at, last + at])
-    return tuple(np.concatenate(x) for x in zip(*out))
+        keys = []
+        for side, on in ((0, first <= place - half), (1, last > place - half)):
+            key = np.full(len(place), side, np.uint64)
+            for c, mix in zip(at_core, np.resize(_TABLE, len(at_core))):
+                key[on] = (key[on] ^ h[place[on] - (1 - side) * half + c]) * mix
+                key ^= key >> np.uint64(31)
+            keys.append(np.where(on, key | np.uint64(1), np.uint64(0)).view(np.int64))
+        out.append([*keys, place + at, first + at])
+    before, after, place, first = (np.concatenate(x) for x in zip(*out))
+    return np.concatenate((before, after)), place, first
+
+
+def entries(i: np.ndarray, place: np.ndarray, first: np.ndarray, size: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """(place of the anchor, first start, starts) for positions i in the keys of a text of `size` bytes."""
+    half, ends = (least - GRAM) // 2, np.append(first[1:], size - least + 1)
+    for x in i.tolist():
+        side, j = divmod(x, len(place))
+        p, lo, end = int(place[j]), int(first[j]), int(ends[j])
+        lo, end = (max(lo, p - half + 1), end) if side else (lo, min(end, p - half + 1))
+        yield p, lo, end - lo
 
 
 def suffix_order(text: np.ndarray, sep: np.ndarray) -> np.ndarray:
@@ -132,38 +157,35 @@ def matching_lengths(parts: list[bytes]) -> np.ndarray:
 
 
 class Marker:
-    """Contexts of whole anchor groups in; spans of repeated windows out."""
+    """Contexts of whole groups in; spans of repeated windows out."""
 
     def __init__(self, least: int):
         self.least = least
 
-    def spans(self, key: np.ndarray, context: list[bytes], place: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row, first, last) in window starts counted from the context's first; `starts` windows from there belong to it.
+    def spans(self, key: np.ndarray, context: list[bytes], place: np.ndarray, starts: np.ndarray, n: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each context (first, last) in window starts counted from its first; `starts` windows from there belong to it.
 
-        `place` is the anchor's place in its context.
+        `place` is the anchor's place in its context; n tells how often the context occurs.
         """
-        least, n = self.least, len(key)
+        least = self.least
         low_, high = self._reach(key, [c[p::-1] if p else c[:1] for c, p in zip(context, place)]), self._reach(key, [c[p:] for c, p in zip(context, place)])
         # the anchor's first byte is on both sides; a window that starts at s reaches place - s bytes to its left
-        first = np.maximum(0, place - (low_ - 1))
-        last = np.minimum(starts - 1, place + high - least)
-        rows = np.flatnonzero(first <= last)
+        first = np.where(n > 1, 0, np.maximum(0, place - (low_ - 1)))
+        last = np.where(n > 1, starts - 1, np.minimum(starts - 1, place + high - least))
         cutout: dict[tuple[int, bytes], list[int]] = {}
-        for i in rows.tolist():
+        for i in np.flatnonzero(first <= last).tolist():
             cutout.setdefault((int(key[i]), context[i][first[i] : last[i] + least]), []).append(i)
-        parts = [c for _, c in cutout]
-        if not parts:
-            return []
-        length = matching_lengths(parts)
-        found = []
+        found: list[list[tuple[int, int]]] = [[] for _ in context]
+        if not cutout:
+            return found
+        length = matching_lengths([c for _, c in cutout])
         at = 0
         for (_, c), own in cutout.items():
             k = len(c) - least + 1
-            on = np.full(k, True) if len(own) > 1 else length[at : at + k] >= least
+            on = np.full(k, True) if n[own].sum() > 1 else length[at : at + k] >= least
             at += len(c) + 1
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(np.int8), [0]))))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                found += [(i, int(first[i]) + a, int(first[i]) + b - 1) for i in own]
+            for i in own:
+                found[i] = [(int(first[i]) + a, int(first[i]) + b) for a, b in runs(on)]
         return found
 
     def _reach(self, key: np.ndarray, side: list[bytes]) -> np.ndarray:
@@ -183,20 +205,31 @@ class Marker:
         return out
 
 
+def runs(on: np.ndarray) -> list[tuple[int, int]]:
+    """First and last places of the runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(np.int8), [0]))))
+    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
+
+
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _found(d: list[bytes], n: list[int], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    on = [i for i, x in enumerate(spans) if x]
+    columns = [pa.array([d[i] for i in on], pa.binary()), pa.array([n[i] for i in on], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in spans[i]] for i in on], _SPANS)]
+    return pa.RecordBatch.from_arrays(columns, names=["d", "n", "spans"])
+
+
 def _mark(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker = Marker(least)
-        names = ["key", "context", "place", "starts", "t", "lo"]
+        names = ["key", "d", "n", "context", "place", "starts"]
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            key = t["key"].to_numpy()
-            found = marker.spans(key, t["context"].to_pylist(), t["place"].to_numpy().astype(np.int64), t["starts"].to_numpy().astype(np.int64)) if len(key) else []
-            row = np.array([f[0] for f in found], np.int64)
-            lo = t["lo"].to_numpy()[row] if len(row) else np.zeros(0, np.int64)
-            a, b = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
-            return pa.RecordBatch.from_arrays([t["t"].combine_chunks().take(pa.array(row)), pa.array(lo + a), pa.array(lo + b + least)], names=["t", "a", "b"])
+            key, n, place, starts = (t[c].to_numpy().astype(np.int64) for c in ("key", "n", "place", "starts"))
+            return _found(t["d"].to_pylist(), n.tolist(), marker.spans(key, t["context"].to_pylist(), place, starts, n))
 
         for batch in batches:
             if not batch.num_rows:
@@ -216,12 +249,25 @@ def _mark(least: int):
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the repeated windows of each context (d, n, s: array of starts)."""
+    for b in batches:
+        spans = []
+        for s in b.column(2):
+            on = np.zeros(max(s.as_py()) + 1, bool)
+            on[s.as_py()] = True
+            spans.append(runs(on))
+        yield _found(b.column(0).to_pylist(), b.column(1).to_pylist(), spans)
+
+
 def find_repeats(df: DataFrame, id_col: str, text_col: str, least: int = 400) -> DataFrame:
     """id, n_bytes, spans (array of start, end in UTF-8 bytes), kept (the remaining bytes): one row for each row.
 
     A span is a maximal run of bytes that are covered by strings of `least` bytes that also start elsewhere, in this
     text or another; overlaps count, and strings never cross texts. Rows of equal texts are each other's elsewhere.
-    Null texts count as empty; texts under `least` bytes have no spans. Ids may repeat or be null.
+    Null texts count as empty; texts under `least` bytes have no spans. Ids may repeat or be null. A group of more than
+    GROUP_ROWS different contexts (a passage in as many surroundings) is divided into single windows: each is then a
+    group of its own, of one string, whose copies are counted.
     """
     spark = df.sparkSession
     n = partitions(spark)
@@ -229,58 +275,77 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str, least: int = 400) ->
     known = rows.groupBy("t").agg(F.count(F.lit(1)).alias("copies"))
     texts = rows.select("t", F.col("text").cast("binary").alias("text")).dropDuplicates(["t"])
 
+    lists = [("t", pa.binary()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("firsts", pa.list_(pa.int32()))]
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
             for t, text in zip(b.column(0), b.column(1)):
                 text = text.as_py()
                 if len(text) >= least:
-                    h, place, lo, _ = anchors(text, least)
-                    for x, v in zip(out, (t.as_py(), h, place, lo)):
+                    for x, v in zip(out, (t.as_py(), *anchors(text, least))):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["t", "keys", "places", "los"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(out, lists)], schema=pa.schema(lists))
 
     # anchors of copies are thrown away again: that moves far fewer bytes than their texts would
-    every = rows.select("t", F.col("text").cast("binary").alias("text")).mapInArrow(packed, "t binary, keys array<long>, places array<long>, los array<long>")
+    every = rows.select("t", F.col("text").cast("binary").alias("text")).mapInArrow(packed, "t binary, keys array<long>, places array<int>, firsts array<int>")
     found = cut(every.dropDuplicates(["t"]))
-    again = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # only the number of each repeated anchor goes on with its text
-    at = found.select("t", F.posexplode("keys").alias("i", "key")).join(again, "key").groupBy("t").agg(F.collect_list(F.struct("i", "n")).alias("hits"))
-    wanted = found.join(at, "t").select("t", "keys", "places", "los", F.transform("hits", lambda x: x["i"]).alias("i"), F.transform("hits", lambda x: x["n"] > GROUP_ROWS).alias("hot"))
+    keyed = found.select("t", F.posexplode("keys").alias("i", "key")).where("key <> 0")
+    again = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    at = attach_skewed(keyed, again, "key", ["t", "i"]).groupBy("t").agg(F.collect_list("i").alias("i"))
+    wanted = found.join(at, "t").select("t", "keys", "places", "firsts", "i")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for t, text, keys, places, firsts, i in zip(*b.columns):
+                t, text, keys, i = t.as_py(), text.as_py(), keys.values.to_numpy(), i.values.to_numpy()
+                for key, x, (p, lo, n) in zip(keys[i].tolist(), i.tolist(), entries(i, places.values.to_numpy(), firsts.values.to_numpy(), len(text), least)):
+                    d = hashlib.blake2b(text[lo : lo + n - 1 + least], digest_size=16, key=b"%d %d" % (key, p - lo)).digest()
+                    for y, v in zip(out, (key, d, t, lo, x)):
+                        y.append(v)
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "d", "t", "lo", "i"])
+
+    member = cut(texts.join(wanted, "t").select("t", "text", "keys", "places", "firsts", "i").mapInArrow(members, "key long, d binary, t binary, lo long, i int"))
+    one = cut(member.groupBy("key", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "i")).alias("at")))
+    long_ = cut(one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).withColumn("long", F.lit(True)))
+    one = one.select("key", "d", F.col("n").alias("copies"), "at.t", "at.i")
+    one = attach_skewed(one, long_, "key", ["d"], "left").select("t", F.struct("i", "d", "copies", F.coalesce("long", F.lit(False)).alias("long")).alias("x"))
+    shown = found.join(one.groupBy("t").agg(F.collect_list("x").alias("x")), "t").select("t", "keys", "places", "firsts", "x")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in kinds]
             size = 0
-            names = b.schema.names
-            col = {c: b.column(names.index(c)) for c in names}
-            for r in range(b.num_rows):
-                t, text = col["t"][r].as_py(), col["text"][r].as_py()
-                keys, places, los = (col[c][r].values.to_numpy() for c in ("keys", "places", "los"))
-                ends = np.append(los[1:], len(text) - least + 1)
-                for i, hot in zip(col["i"][r].as_py(), col["hot"][r].as_py()):
-                    lo, end = int(los[i]), int(ends[i])
-                    if hot:
-                        row = (int(keys[i]), b"".join(hashlib.blake2b(text[s : s + least], digest_size=16).digest() for s in range(lo, end)))
+            for _, text, keys, places, firsts, some in zip(*b.columns):
+                text, keys, some = text.as_py(), keys.values.to_numpy(), some.as_py()
+                i = np.array([x["i"] for x in some])
+                for key, x, (p, lo, n) in zip(keys[i].tolist(), some, entries(i, places.values.to_numpy(), firsts.values.to_numpy(), len(text), least)):
+                    if x["long"]:  # a digest for each window
+                        bytes_ = b"".join(hashlib.blake2b(text[k : k + least], digest_size=16).digest() for k in range(lo, lo + n))
                     else:
-                        row = (int(keys[i]), text[lo : end - 1 + least])
-                    for x, v in zip(out, (*row, int(places[i]) - lo, end - lo, t, lo, hot)):
-                        x.append(v)
-                    size += len(row[1])
+                        bytes_ = text[lo : lo + n - 1 + least]
+                    for y, v in zip(out, (key, x["d"], x["copies"], bytes_, p - lo, n, x["long"])):
+                        y.append(v)
+                    size += len(bytes_)
                 if size > 8_000_000:
-                    yield _contexts(out)
-                    out, size = [[] for _ in range(7)], 0
-            yield _contexts(out)
-
-    kinds = "key long, context binary, place int, starts int, t binary, lo long, hot boolean"
-    around = texts.join(wanted, "t").mapInArrow(contexts, kinds)
-    cool = around.where("NOT hot").repartition(n, "key").sortWithinPartitions("key")
-    spans = cool.drop("hot").mapInArrow(_mark(least), "t binary, a long, b long")
-    if not again.where(F.col("n") > GROUP_ROWS).isEmpty():
-        each = around.where("hot").select("t", "lo", "context", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
-        windows = each.select("t", (F.col("lo") + F.col("s")).alias("a"), F.expr("substring(context, 16 * s + 1, 16)").alias("w"))
-        twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-        spans = spans.union(windows.join(twice, "w").select("t", "a", (F.col("a") + least).alias("b")))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "d", "n", "context", "place", "starts", "long"])
+                    out, size = [[] for _ in kinds], 0
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "d", "n", "context", "place", "starts", "long"])
+
+    around = texts.join(shown, "t").select("t", "text", "keys", "places", "firsts", "x").mapInArrow(contexts, "key long, d binary, n long, context binary, place int, starts int, long boolean")
+    results = "d binary, n long, spans array<struct<a: int, b: int>>"
+    marked = around.where("NOT long").drop("long").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_mark(least), results)
+    if not long_.isEmpty():
+        windows = around.where("long").select("d", "n", F.posexplode(F.expr("transform(sequence(0, starts - 1), s -> substring(context, 16 * s + 1, 16))")).alias("s", "w"))
+        windows = cut(windows.withColumnRenamed("n", "copies"))
+        twice = cut(windows.groupBy("w").agg(F.sum("copies").alias("times"), F.count(F.lit(1)).alias("n")).where("times > 1").drop("times"))
+        repeated = attach_skewed(windows, twice, "w", ["d", "s"]).groupBy("d", "copies").agg(F.collect_list("s").alias("s"))
+        marked = marked.union(repeated.mapInArrow(_merge, results))
+    spans = attach_skewed(member, cut(marked), "d", ["t", "lo"]).select("t", "lo", F.explode("spans").alias("x"))
+    spans = spans.select("t", (F.col("lo") + F.col("x.a")).alias("a"), (F.col("lo") + F.col("x.b") + least).alias("b"))
     spans = spans.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,12 +374,10 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str, least: int = 400) ->
     return rows.select("id", "t").join(done, "t").select(F.col("id").alias(id_col), "n_bytes", "spans", "kept")
 
 
-def _contexts(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "context", "place", "starts", "t", "lo", "hot"])
-
-
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", 400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )

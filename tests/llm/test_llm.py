@@ -236,21 +236,26 @@ def test_pieces_equal_the_library():
         assert table.encode(t) == (np.array(ids, "<u4").tobytes(), sp.decode(ids))
 
 
-def test_repeats_by_brute_force(spark):
+@pytest.mark.parametrize("group", [repeats.GROUP_ROWS, 3])  # 3: groups are divided into windows
+def test_repeats_by_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP_ROWS", group)
     random.seed(4)
     word = lambda n: "".join(random.choice("abcdé ") for _ in range(n))
     shared = [word(70), word(45), "x" * 90]
     texts = [(i, "".join(random.choice([word(random.randint(5, 60)), *shared]) for _ in range(6))) for i in range(40)] + [(90, None), (91, "short"), (92, shared[0]), (93, shared[0])]
-    least = 40
     raw = {i: (t or "").encode() for i, t in texts}
-    seen = {}
-    for b in raw.values():
-        for p in range(len(b) - least + 1):
-            seen[b[p : p + least]] = seen.get(b[p : p + least], 0) + 1
-    for r in repeats.find_repeats(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", least).collect():
-        b = raw[r.doc_id]
-        gone = {q for p in range(len(b) - least + 1) if seen[b[p : p + least]] > 1 for q in range(p, p + least)}
-        assert bytes(r.kept) == bytes(c for q, c in enumerate(b) if q not in gone)
+    for least in (40, 41, 57, 97):
+        seen = {}
+        for b in raw.values():
+            for p in range(len(b) - least + 1):
+                seen[b[p : p + least]] = seen.get(b[p : p + least], 0) + 1
+        some = 0
+        for r in repeats.find_repeats(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", least).collect():
+            b = raw[r.doc_id]
+            gone = {q for p in range(len(b) - least + 1) if seen[b[p : p + least]] > 1 for q in range(p, p + least)}
+            assert bytes(r.kept) == bytes(c for q, c in enumerate(b) if q not in gone)
+            some += len(gone)
+        assert some
 
 
 def test_chat_layouts_round_trip(spark):
