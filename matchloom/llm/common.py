@@ -49,18 +49,23 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner")
 HOT_KEYS, HOT_ROWS = 1_000, 1_000
 
 
-def attach_skewed(df: DataFrame, side: DataFrame, key: str, by: list[str], how: str = "inner") -> DataFrame:
-    """Join of df with a table of unique keys that tells in `n` how many rows of df have each of them.
+def hot_keys(counts: DataFrame, key: str) -> DataFrame:
+    """The keys of a table (key, n: rows) that have more than 1 in HOT_KEYS of all rows: so HOT_KEYS at most."""
+    least = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    return counts.where(F.col("n") > least).select(key).distinct()
 
-    Keys of more than 1 in HOT_KEYS of those rows, so no more than HOT_KEYS, are known to all tasks: their rows are dealt out
-    by a hash of the columns `by`, and the side's row is repeated for each part. `n` is dropped.
+
+def attach_skewed(df: DataFrame, side: DataFrame, hot: DataFrame, key: str, by: list[str], how: str = "inner") -> DataFrame:
+    """Join of df with a derived table where the rows of the hot keys (see hot_keys) are dealt out among all partitions.
+
+    They go by a hash of the columns `by`, and the side's rows are repeated for each part. The hot keys are broadcast.
     """
     ways = partitions(df.sparkSession)
-    least = max(HOT_ROWS, (side.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    hot = F.broadcast(side.where(F.col("n") > least).select(key, F.lit(ways).alias("_ways")))
-    parted = df.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_ways", F.lit(1)))).drop("_ways")
-    parts = F.when(F.col("n") > least, F.expr(f"sequence(0L, {ways - 1}L)")).otherwise(F.expr("array(0L)"))
-    return parted.join(side.withColumn("_part", F.explode(parts)).drop("n"), [key, "_part"], how).drop("_part")
+    hot = F.broadcast(hot.select(key, F.lit(ways).cast("long").alias("_ways")))
+    parts = F.when(F.col("_ways").isNull(), F.expr("array(0L)")).otherwise(F.expr(f"sequence(0L, {ways - 1}L)"))
+    side = side.join(hot, key, "left").withColumn("_part", F.explode(parts)).drop("_ways")
+    df = df.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_ways", F.lit(1).cast("long")))).drop("_ways")
+    return df.join(side, [key, "_part"], how).drop("_part")
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

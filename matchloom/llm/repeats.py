@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import attach_skewed, cut, partitions, table
+from matchloom.llm.common import attach_skewed, cut, hot_keys, partitions, table
 
 #: Bytes of an anchor.
 GRAM = 32
@@ -26,18 +26,19 @@ PIECE = 1 << 22
 #: Different contexts that a group is indexed with at most; a longer one is divided into its single windows.
 GROUP_ROWS = 4_000
 #: Contexts after which a task builds an index, at the next change of the group.
-INDEX_ROWS = 3_000
+INDEX_ROWS = 1_000
 _rng = np.random.default_rng(5)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _rng.integers(1, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def anchors(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, place, first start) of the anchors of all windows; the starts of a text are dealt out among the k anchors.
+def anchors(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first start, starts, place) of groups of windows; each start is in one.
 
-    keys has 2 k hashes. The first k stand for the windows with the half of the other bytes or more before the anchor,
-    and are those of that half and the anchor; the others of the anchor and the half after it. 0: no such window.
+    The windows of an anchor make two groups at most: those with half of the other bytes or more before the anchor have
+    the hash of that half and the anchor as their key, the others that of the anchor and the half after it. `place` is
+    the anchor's, counted from the first start.
     """
     half = (least - GRAM) // 2
     at_core = [*range(0, half, GRAM), half]  # strings of GRAM bytes that cover both
@@ -62,32 +63,20 @@ def anchors(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         last = np.append(first[1:], len(place)) - 1
         place = place[first]
-        keys = []
-        for side, on in ((0, first <= place - half), (1, last > place - half)):
-            key = np.full(len(place), side, np.uint64)
+        for side, lo, hi in ((1, first, np.minimum(last, place - half)), (0, np.maximum(first, place - half + 1), last)):
+            on = lo <= hi
+            key = np.full(np.count_nonzero(on), side, np.uint64)
             for c, mix in zip(at_core, np.resize(_TABLE, len(at_core))):
-                key[on] = (key[on] ^ h[place[on] - (1 - side) * half + c]) * mix
+                key = (key ^ h[place[on] - side * half + c]) * mix
                 key ^= key >> np.uint64(31)
-            keys.append(np.where(on, key | np.uint64(1), np.uint64(0)).view(np.int64))
-        out.append([*keys, place + at, first + at])
-    before, after, place, first = (np.concatenate(x) for x in zip(*out))
-    return np.concatenate((before, after)), place, first
-
-
-def entries(i: np.ndarray, place: np.ndarray, first: np.ndarray, size: int, least: int) -> Iterator[tuple[int, int, int]]:
-    """(place of the anchor, first start, starts) for positions i in the keys of a text of `size` bytes."""
-    half, ends = (least - GRAM) // 2, np.append(first[1:], size - least + 1)
-    for x in i.tolist():
-        side, j = divmod(x, len(place))
-        p, lo, end = int(place[j]), int(first[j]), int(ends[j])
-        lo, end = (max(lo, p - half + 1), end) if side else (lo, min(end, p - half + 1))
-        yield p, lo, end - lo
+            out.append([key.view(np.int64), lo[on] + at, (hi - lo)[on] + 1, (place - lo)[on]])
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def suffix_order(text: np.ndarray, sep: np.ndarray) -> np.ndarray:
     """The suffix array of `text` (0: separator, else byte + 1), suffixes ending at their separator, ties by place."""
     n = len(text)
-    padded = np.concatenate((text, np.zeros(6, np.int64)))
+    padded = np.concatenate((text, np.zeros(6, text.dtype)))
     pack, ended = np.zeros(n, np.int64), np.zeros(n, bool)
     for j in range(7):
         c = np.where(ended, 0, padded[j : j + n])
@@ -97,7 +86,7 @@ def suffix_order(text: np.ndarray, sep: np.ndarray) -> np.ndarray:
     order = np.lexsort((np.where(ended, sep, 0), pack))
     key, tail = pack[order], np.where(ended, sep, 0)[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (tail[1:] != tail[:-1])))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 7
     open_ = order[~(new & np.append(new[1:], True))]  # suffixes that share a rank with others
@@ -126,12 +115,12 @@ def matching_lengths(parts: list[bytes]) -> np.ndarray:
     the lengths of all other places follow in one stream over the text: each is one less than that before it.
     """
     n = sum(map(len, parts)) + len(parts)
-    text = np.zeros(n, np.int64)
+    text = np.zeros(n, np.int16)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     body = np.ones(n, bool)
     body[ends] = False
-    text[body] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
-    sep = np.repeat(np.arange(len(parts)), np.diff(np.append(-1, ends)))
+    text[body] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int16) + 1
+    sep = np.repeat(np.arange(len(parts), dtype=np.int32), np.diff(np.append(-1, ends)))
     order = suffix_order(text, sep)
     bwt = np.where(order > 0, text[order - 1], 0)
     head = np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)))  # separators differ from one another
@@ -214,22 +203,22 @@ def runs(on: np.ndarray) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _found(d: list[bytes], n: list[int], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+def _found(key: list[int], d: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
     on = [i for i, x in enumerate(spans) if x]
-    columns = [pa.array([d[i] for i in on], pa.binary()), pa.array([n[i] for i in on], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in spans[i]] for i in on], _SPANS)]
-    return pa.RecordBatch.from_arrays(columns, names=["d", "n", "spans"])
+    columns = [pa.array([key[i] for i in on], pa.int64()), pa.array([d[i] for i in on], pa.binary()), pa.array([[{"a": a, "b": b} for a, b in spans[i]] for i in on], _SPANS)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "d", "spans"])
 
 
 def _mark(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker = Marker(least)
-        names = ["key", "d", "n", "context", "place", "starts"]
+        names = ["key", "d", "copies", "context", "place", "starts"]
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            key, n, place, starts = (t[c].to_numpy().astype(np.int64) for c in ("key", "n", "place", "starts"))
-            return _found(t["d"].to_pylist(), n.tolist(), marker.spans(key, t["context"].to_pylist(), place, starts, n))
+            key, n, place, starts = (t[c].to_numpy().astype(np.int64) for c in ("key", "copies", "place", "starts"))
+            return _found(key.tolist(), t["d"].to_pylist(), marker.spans(key, t["context"].to_pylist(), place, starts, n))
 
         for batch in batches:
             if not batch.num_rows:
@@ -250,7 +239,7 @@ def _mark(least: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the repeated windows of each context (d, n, s: array of starts)."""
+    """Spans of the repeated windows of each context (key, d, s: array of starts)."""
     for b in batches:
         spans = []
         for s in b.column(2):
@@ -275,77 +264,73 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str, least: int = 400) ->
     known = rows.groupBy("t").agg(F.count(F.lit(1)).alias("copies"))
     texts = rows.select("t", F.col("text").cast("binary").alias("text")).dropDuplicates(["t"])
 
-    lists = [("t", pa.binary()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("firsts", pa.list_(pa.int32()))]
+    kinds = [("key", pa.int64()), ("d", pa.binary()), ("lo", pa.int32()), ("starts", pa.int32()), ("place", pa.int32())]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            ts: list[bytes] = []
+            out: list[list] = [[] for _ in kinds]
             for t, text in zip(b.column(0), b.column(1)):
                 text = text.as_py()
                 if len(text) >= least:
-                    for x, v in zip(out, (t.as_py(), *anchors(text, least))):
+                    key, lo, starts, place = anchors(text, least)
+                    ends = (lo + starts - 1 + least).tolist()
+                    d = [hashlib.blake2b(text[x:y], digest_size=8, salt=b"%d" % p).digest() for x, y, p in zip(lo.tolist(), ends, place.tolist())]
+                    ts.append(t.as_py())
+                    for x, v in zip(out, (key, d, lo, starts, place)):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(out, lists)], schema=pa.schema(lists))
+            columns = [pa.array(ts, pa.binary()), *[pa.array(x, pa.list_(k)) for x, (_, k) in zip(out, kinds)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["t", *[c for c, _ in kinds]])
 
-    # anchors of copies are thrown away again: that moves far fewer bytes than their texts would
-    every = rows.select("t", F.col("text").cast("binary").alias("text")).mapInArrow(packed, "t binary, keys array<long>, places array<int>, firsts array<int>")
+    # what copies have is thrown away again: that moves far fewer bytes than their texts would
+    fields = "key array<long>, d array<binary>, lo array<int>, starts array<int>, place array<int>"
+    every = rows.select("t", F.col("text").cast("binary").alias("text")).mapInArrow(packed, f"t binary, {fields}")
     found = cut(every.dropDuplicates(["t"]))
-    keyed = found.select("t", F.posexplode("keys").alias("i", "key")).where("key <> 0")
-    again = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    at = attach_skewed(keyed, again, "key", ["t", "i"]).groupBy("t").agg(F.collect_list("i").alias("i"))
-    wanted = found.join(at, "t").select("t", "keys", "places", "firsts", "i")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for t, text, keys, places, firsts, i in zip(*b.columns):
-                t, text, keys, i = t.as_py(), text.as_py(), keys.values.to_numpy(), i.values.to_numpy()
-                for key, x, (p, lo, n) in zip(keys[i].tolist(), i.tolist(), entries(i, places.values.to_numpy(), firsts.values.to_numpy(), len(text), least)):
-                    d = hashlib.blake2b(text[lo : lo + n - 1 + least], digest_size=16, key=b"%d %d" % (key, p - lo)).digest()
-                    for y, v in zip(out, (key, d, t, lo, x)):
-                        y.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "d", "t", "lo", "i"])
-
-    member = cut(texts.join(wanted, "t").select("t", "text", "keys", "places", "firsts", "i").mapInArrow(members, "key long, d binary, t binary, lo long, i int"))
-    one = cut(member.groupBy("key", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "i")).alias("at")))
-    long_ = cut(one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).withColumn("long", F.lit(True)))
-    one = one.select("key", "d", F.col("n").alias("copies"), "at.t", "at.i")
-    one = attach_skewed(one, long_, "key", ["d"], "left").select("t", F.struct("i", "d", "copies", F.coalesce("long", F.lit(False)).alias("long")).alias("x"))
-    shown = found.join(one.groupBy("t").agg(F.collect_list("x").alias("x")), "t").select("t", "keys", "places", "firsts", "x")
+    again = cut(found.select(F.explode("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    member = found.select("t", F.inline(F.arrays_zip(*[c for c, _ in kinds])))
+    member = cut(attach_skewed(member, again, hot_keys(again, "key"), "key", ["t", "lo"]).drop("n"))
+    # one representative of equal contexts
+    one = cut(member.groupBy("key", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "lo", "starts", "place")).alias("x")))
+    long_ = cut(one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).withColumn("ways", F.ceil(F.col("n") / GROUP_ROWS)))
+    shown = attach_skewed(one.withColumnRenamed("n", "copies"), long_, hot_keys(long_, "key"), "key", ["d"], "left")
+    shown = shown.select("x.t", F.struct("key", "d", "copies", "x.lo", "x.starts", "x.place", F.coalesce("ways", F.lit(0).cast("long")).alias("ways")).alias("x"))
+    shown = shown.groupBy("t").agg(F.collect_list("x").alias("x"))
+    names = ["key", "d", "copies", "context", "place", "starts", "ways"]
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
         for b in batches:
-            out: list[list] = [[] for _ in kinds]
+            out: list[list] = [[] for _ in names]
             size = 0
-            for _, text, keys, places, firsts, some in zip(*b.columns):
-                text, keys, some = text.as_py(), keys.values.to_numpy(), some.as_py()
-                i = np.array([x["i"] for x in some])
-                for key, x, (p, lo, n) in zip(keys[i].tolist(), some, entries(i, places.values.to_numpy(), firsts.values.to_numpy(), len(text), least)):
-                    if x["long"]:  # a digest for each window
-                        bytes_ = b"".join(hashlib.blake2b(text[k : k + least], digest_size=16).digest() for k in range(lo, lo + n))
-                    else:
-                        bytes_ = text[lo : lo + n - 1 + least]
-                    for y, v in zip(out, (key, x["d"], x["copies"], bytes_, p - lo, n, x["long"])):
-                        y.append(v)
-                    size += len(bytes_)
+            for text, some in zip(*b.columns):
+                text = text.as_py()
+                for x in some.as_py():
+                    lo, end = x["lo"], x["lo"] + x["starts"]
+                    x["context"] = text[lo : end - 1 + least]
+                    if x["ways"]:  # a digest for each window
+                        x["context"] = b"".join(hashlib.blake2b(text[k : k + least], digest_size=16).digest() for k in range(lo, end))
+                    size += len(x["context"])
+                    for y, c in zip(out, names):
+                        y.append(x[c])
                 if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "d", "n", "context", "place", "starts", "long"])
-                    out, size = [[] for _ in kinds], 0
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "d", "n", "context", "place", "starts", "long"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types)], names=names)
+                    out, size = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types)], names=names)
 
-    around = texts.join(shown, "t").select("t", "text", "keys", "places", "firsts", "x").mapInArrow(contexts, "key long, d binary, n long, context binary, place int, starts int, long boolean")
-    results = "d binary, n long, spans array<struct<a: int, b: int>>"
-    marked = around.where("NOT long").drop("long").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_mark(least), results)
+    around = texts.join(shown, "t").select("text", "x").mapInArrow(contexts, "key long, d binary, copies long, context binary, place int, starts int, ways long")
+    results = "key long, d binary, spans array<struct<a: int, b: int>>"
+    marked = around.where("ways = 0").drop("ways").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_mark(least), results)
     if not long_.isEmpty():
-        windows = around.where("long").select("d", "n", F.posexplode(F.expr("transform(sequence(0, starts - 1), s -> substring(context, 16 * s + 1, 16))")).alias("s", "w"))
-        windows = cut(windows.withColumnRenamed("n", "copies"))
-        twice = cut(windows.groupBy("w").agg(F.sum("copies").alias("times"), F.count(F.lit(1)).alias("n")).where("times > 1").drop("times"))
-        repeated = attach_skewed(windows, twice, "w", ["d", "s"]).groupBy("d", "copies").agg(F.collect_list("s").alias("s"))
+        each = F.expr("transform(sequence(0, starts - 1), s -> substring(context, 16 * s + 1, 16))")
+        windows = around.where("ways > 0").select("key", "d", "copies", "ways", F.posexplode(each).alias("s", "w"))
+        # a window's rows are dealt out in parts by the number of contexts of its group
+        windows = windows.withColumn("part", F.pmod(F.xxhash64("d"), F.col("ways")))
+        twice = windows.groupBy("w").agg(F.sum("copies").alias("times"), F.max("ways").alias("ways")).where("times > 1")
+        twice = twice.select("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("part"))
+        repeated = windows.join(twice, ["w", "part"]).groupBy("key", "d").agg(F.collect_list("s").alias("s"))
         marked = marked.union(repeated.mapInArrow(_merge, results))
-    spans = attach_skewed(member, cut(marked), "d", ["t", "lo"]).select("t", "lo", F.explode("spans").alias("x"))
-    spans = spans.select("t", (F.col("lo") + F.col("x.a")).alias("a"), (F.col("lo") + F.col("x.b") + least).alias("b"))
+    spans = attach_skewed(member, marked.withColumnRenamed("key", "k"), hot_keys(one, "d"), "d", ["t", "lo"]).where("key = k").select("t", "lo", F.explode("spans").alias("x"))
+    spans = spans.select("t", (F.col("lo") + F.col("x.a")).cast("long").alias("a"), (F.col("lo") + F.col("x.b") + least).cast("long").alias("b"))
     spans = spans.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
