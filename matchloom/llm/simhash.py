@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -16,10 +17,8 @@ from matchloom.llm.common import cut, partitions, table
 from matchloom.llm.components import connected_components, local_roots
 
 HASH_SEED = 42
-#: Children of an index node.
-FANOUT = 8
-#: Groups of one key with as many fingerprints at most are compared directly; larger ones get an index.
-SMALL = 8
+#: Children of an index node, and words that go down an index at once.
+FANOUT, AT_ONCE = 8, 65_536
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -68,97 +67,163 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def index_links(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that link all distinct words of `fp` at `bits` or fewer differing bits.
-
-    fp is in Gray order. A node holds the bits that all words under it share (mask and pattern); its children add
-    theirs. A search goes down from the root with every word at once, adds up the differences on the shared bits,
-    and drops a node with all that is under it beyond `bits`. A node whose free bits cannot pass the limit any more
-    is linked as one.
-    """
-    levels = [(np.full(len(fp), ~np.uint64(0)), fp)]
-    first = [np.arange(len(fp))]
-    while len(levels[-1][0]) > 1:
-        mask, pattern = levels[-1]
-        at = np.arange(0, len(mask), FANOUT)
-        one, zero = np.bitwise_and.reduceat(pattern & mask, at), np.bitwise_and.reduceat(~pattern & mask, at)
-        levels.append((one | zero, one))
-        first.append(first[-1][at])
-    q, node = np.arange(len(fp)), np.zeros(len(fp), np.int64)
-    found_a, found_b = [], []
-    for depth in range(len(levels) - 1, -1, -1):
-        mask, pattern = levels[depth]
-        # the masks of a path grow, so the sum over the path's new bits is the difference on the node's own mask
-        apart = np.bitwise_count((fp[q] ^ pattern[node]) & mask[node])
-        on = apart <= bits
-        q, node, apart = q[on], node[on], apart[on]
-        whole = apart + (64 - np.bitwise_count(mask[node])) <= bits
-        found_a.append(q[whole])
-        found_b.append(first[depth][node[whole]])
-        # a node linked as one also has to be tied together: each of its words is within the limit of the first
-        q, node = q[~whole], node[~whole]
-        if depth:
-            below = len(levels[depth - 1][0])
-            q = np.repeat(q, FANOUT)
-            node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            q, node = q[node < below], node[node < below]
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def group_links(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, smallest word tied to it) for the words of each run of equal keys that are tied to another."""
-    order = np.lexsort((gray_rank(fp), key))
-    key, fp = key[order], fp[order]
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(key)))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    small = np.repeat(sizes <= SMALL, sizes)
-    for step in range(1, SMALL):
-        i = np.flatnonzero(small[:-step] & (key[:-step] == key[step:]))
-        i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= bits]
-        a.append(i)
-        b.append(i + step)
-    for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        x, y = index_links(fp[s : s + n], bits)
-        a.append(x + s)
-        b.append(y + s)
-    a, b = np.concatenate(a), np.concatenate(b)
-    root = local_roots(len(key), a, b)
-    tied = np.flatnonzero(root != np.arange(len(key)))
-    return fp[tied].view(np.int64), fp[root[tied]].view(np.int64)
+@dataclass
+class Turns:
+    """Orders of a word's blocks: each puts two of bits + 2 blocks on top, on which words within the limit agree at least once."""
+
+    bits: int
+
+    def __post_init__(self):
+        n = self.bits + 2
+        cuts = [64 * i // n for i in range(n + 1)]
+        self.blocks = list(zip(cuts, (b - a for a, b in zip(cuts, cuts[1:]))))
+        self.orders = [[i, j, *(x for x in range(n) if x not in (i, j))] for i, j in combinations(range(n), 2)]
+        #: Bits of each order's two blocks on top, as a mask.
+        self.tops = [((1 << (self.blocks[o[0]][1] + self.blocks[o[1]][1])) - 1) << (64 - self.blocks[o[0]][1] - self.blocks[o[1]][1]) for o in self.orders]
+
+    def turn(self, x: np.ndarray, k: int, back: bool = False) -> np.ndarray:
+        """Words with their blocks in order k, or back from it."""
+        out, at = np.zeros_like(x), 64
+        for i in self.orders[k]:
+            low, width = self.blocks[i]
+            at -= width
+            a, b = (at, low) if back else (low, at)
+            out |= ((x >> np.uint64(a)) & np.uint64((1 << width) - 1)) << np.uint64(b)
+        return out
+
+
+def apart(x: np.ndarray, pattern: np.ndarray, mask: np.ndarray, top: int) -> np.ndarray:
+    """Differences from a pattern on its mask; any difference on the bits of `top` counts as 64."""
+    d = (x ^ pattern) & mask
+    return np.bitwise_count(d) + np.where(d & np.uint64(top), np.uint8(64), np.uint8(0))
+
+
+class GrayIndex:
+    """A hierarchy over words in Gray order. A node holds the bits that all words under it share: a mask and a pattern."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.levels, self.first = [(np.full(len(words), ~np.uint64(0)), words)], [np.arange(len(words))]
+        while len(self.levels[-1][0]) > 1:
+            mask, pattern = self.levels[-1]
+            at = np.arange(0, len(mask), FANOUT)
+            one, zero = np.bitwise_and.reduceat(pattern & mask, at), np.bitwise_and.reduceat(~pattern & mask, at)
+            self.levels.append((one | zero, one))
+            self.first.append(self.first[-1][at])
+
+    def links(self, search: np.ndarray, bits: int, top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (in search, in words) that tie each searched word to all words within `bits` bits that agree on `top`.
+
+        A search goes down from the root, adds up the differences on the bits that a node's words share, and drops the
+        node with all that is under it beyond the limit. A node whose free bits cannot pass the limit any more is tied
+        as one: all its words are within the limit of its first.
+        """
+        for at in range(0, len(search), AT_ONCE):
+            x = search[at : at + AT_ONCE]
+            q, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+            for depth in range(len(self.levels) - 1, -1, -1):
+                mask, pattern = self.levels[depth]
+                # the masks of a path grow, so the sum over the path's new bits is the difference on the node's own mask
+                d = apart(x[q], pattern[node], mask[node], top)
+                on = d <= bits
+                q, node, d = q[on], node[on], d[on]
+                free = ~mask[node]
+                whole = (d + np.bitwise_count(free) <= bits) & (free & np.uint64(top) == 0)
+                yield q[whole] + at, self.first[depth][node[whole]]
+                q, node = q[~whole], node[~whole]
+                if depth:
+                    q = np.repeat(q, FANOUT)
+                    node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                    on = node < len(self.levels[depth - 1][0])
+                    q, node = q[on], node[on]
+
+
+def tied(words: np.ndarray, guests: np.ndarray, bits: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, smallest word tied to it) for those of words and guests that the index of the words ties to another."""
+    order = np.argsort(gray_rank(words), kind="stable")
+    every = np.concatenate((words[order], guests))
+    found = list(GrayIndex(every[: len(words)]).links(every, bits, top)) if len(words) else []
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    root = local_roots(len(every), a, b)
+    on = np.flatnonzero(root != np.arange(len(every)))
+    return every[on], every[root[on]]
 
 
 def near_links(fps: DataFrame, bits: int) -> DataFrame:
-    """Links (a, b) that tie all words of `fps` (fp: distinct longs) within `bits` bits of each other; a forest in each group.
+    """Links (a, b) that tie all words of `fps` (fp: distinct longs) within `bits` bits of each other.
 
-    The 64 bits are cut into bits + 2 blocks; words within the limit agree on two of them at least, so each word goes
-    to a group for each pair of blocks. Distinct words have at most C(64,1)+...+C(64,bits) neighbours, which bounds
-    the work in a group; a group's links leave it as a forest.
+    Words within the limit agree on two of bits + 2 blocks at least, so each word is put into one Gray order for each
+    pair of blocks, with the pair on top. An order is dealt out by ranges of its ranks; an index holds one range. The
+    bits that a range's words share are its node one level up. These upper nodes, one or two a range, are sent to all
+    tasks: a word searches its own range and each later one that can hold words of its top bits and that its node does
+    not rule out. So near words of one pair of blocks fill as many ranges as they need. Links leave a range as a forest.
     """
-    n = bits + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) if b - a < 64 else F.col("fp") for a, b in zip(cuts, cuts[1:])]
-    keys = [F.xxhash64(F.lit(k), parts[i], parts[j]) for k, (i, j) in enumerate(combinations(range(n), 2))]
-    # a key may also stand for two groups; every pair is compared in full
+    spark = fps.sparkSession
+    turns, n = Turns(bits), partitions(fps.sparkSession)
+    sign = np.uint64(1 << 63)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = group_links(k, f, bits)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:  # sorted by key; the last key's rows wait for the next batch
-            key = np.concatenate((key, batch.column(0).to_numpy()))
-            fp = np.concatenate((fp, batch.column(1).to_numpy().view(np.uint64)))
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            yield links(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]
-        yield links(key, fp)
-
-    dealt = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    dealt = dealt.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(0).to_numpy().view(np.uint64)
+            for k in range(len(turns.orders)):
+                w = turns.turn(x, k)
+                columns = [pa.array(np.full(len(w), k, np.int32)), pa.array((gray_rank(w) ^ sign).view(np.int64)), pa.array(w.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["turn", "rank", "word"])
+
+    dealt = fps.select("fp").mapInArrow(turned, "turn int, rank long, word long").repartitionByRange(n, "turn", "rank")
+    dealt = cut(dealt.withColumn("range", F.spark_partition_id()))
+    upper = dealt.groupBy("turn", "range").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.bit_and("word").alias("ones"), F.bit_or("word").alias("some"))
+    upper = upper.orderBy("turn", "low").toPandas()  # a row for each range, and one more for each turn at most
+    nodes = {k: u.drop(columns="turn").to_numpy(np.int64).T.copy() for k, u in upper.groupby("turn")}
+    sent = spark.sparkContext.broadcast(nodes)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(turn: int, at: np.ndarray, word: np.ndarray, guest: bool) -> pa.RecordBatch:
+            columns = [pa.array(np.full(len(word), turn, np.int32)), pa.array(at.astype(np.int32)), pa.array(word), pa.array(np.full(len(word), guest))]
+            return pa.RecordBatch.from_arrays(columns, names=["turn", "range", "word", "guest"])
+
+        for b in batches:
+            turn, rank, word, own = (b.column(i).to_numpy() for i in range(4))
+            for k in np.unique(turn).tolist():
+                on = turn == k
+                r, w, o = rank[on], word[on], own[on]
+                yield batch_of(k, o, w, False)
+                at, low, high, ones, some = sent.value[k]
+                rest = ~turns.tops[k] & (2**64 - 1)
+                # the top bits of a rank depend on the top bits of the word only
+                last = np.searchsorted(low, (r.view(np.uint64) | np.uint64(rest)).view(np.int64), "right")
+                next_ = np.searchsorted(low, low[np.searchsorted(high, r)], "right")
+                mask, pattern = (ones | ~some).view(np.uint64), ones.view(np.uint64)
+                while len(r := np.flatnonzero(next_ < last)):
+                    x = next_[r]
+                    d = apart(w[r].view(np.uint64), pattern[x], mask[x], turns.tops[k])
+                    yield batch_of(k, at[x[d <= bits]], w[r[d <= bits]], True)
+                    next_[r] += 1
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            turn, word, guest = (t[c].to_numpy() for c in ("turn", "word", "guest"))
+            for k in np.unique(turn).tolist():
+                w, g = word[turn == k].view(np.uint64), guest[turn == k]
+                ends = tied(w[~g], w[g], bits, turns.tops[k])
+                yield pa.RecordBatch.from_arrays([pa.array(turns.turn(x, k, True).view(np.int64)) for x in ends], names=["a", "b"])
+
+        for b in batches:  # sorted by range
+            at = b.column(1).to_numpy()
+            for part in np.split(np.arange(len(at)), np.flatnonzero(at[1:] != at[:-1]) + 1):
+                if held and len(part) and held[-1].column(1)[0].as_py() != at[part[0]]:
+                    yield from links()
+                    held = []
+                if len(part):
+                    held.append(b.slice(part[0], len(part)))
+        if held:
+            yield from links()
+
+    asked = dealt.select("turn", "rank", "word", "range").mapInArrow(visits, "turn int, range int, word long, guest boolean")
+    return asked.repartition(n, "range").sortWithinPartitions("range").mapInArrow(link, "a long, b long").distinct()
 
 
 def near_dedup(df: DataFrame, id_col: str, text_col: str, words: int = 5, bits: int = 3) -> DataFrame:

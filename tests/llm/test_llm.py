@@ -214,18 +214,46 @@ def test_near_copies_in_one_boilerplate_group(spark):
     assert len(got) == len(texts) and len(wrong) <= 2, wrong  # 3 in 1,000 pairs of 0.8 are no candidates
 
 
-def test_index_links_all_near_words():
+def _near_pairs(fp, bits):
+    return {(int(a), int(b)) for i, a in enumerate(fp) for b in fp[np.flatnonzero(np.bitwise_count(fp ^ a) <= bits)] if a < b}
+
+
+def test_index_finds_all_links(spark):
+    """Every link of sf0.01 by brute force is found by the index, in one of the six orders, and each index's links are such."""
+    fp = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text", 3).select("fp").distinct().toPandas().fp.to_numpy().view(np.uint64)
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    flips = np.uint64(1) << rng.integers(0, 64, (400, 2), dtype=np.uint64)
-    fp = np.unique(np.concatenate((base, base[rng.integers(0, 40, 400)] ^ flips[:, 0] ^ flips[:, 1])))
-    tied, root = simhash.group_links(np.zeros(len(fp), np.int64), fp, 2)
-    label = {int(x): int(x) for x in fp}
-    label |= {int(np.uint64(a & (2**64 - 1))): int(np.uint64(b & (2**64 - 1))) for a, b in zip(map(int, tied), map(int, root))}
-    for x in map(int, fp):
-        for y in map(int, fp):
-            if (x ^ y).bit_count() <= 2:
-                assert label[x] == label[y]
+    flips = np.uint64(1) << rng.integers(0, 64, (3, 300), dtype=np.uint64)
+    fp = np.unique(np.concatenate((fp, fp[:300] ^ flips[0] ^ flips[1], fp[:300] ^ flips[2])))
+    turns, found = simhash.Turns(2), set()
+    for k, top in enumerate(turns.tops):
+        w = turns.turn(fp, k)
+        assert (turns.turn(w, k, True) == fp).all()
+        w = w[np.argsort(simhash.gray_rank(w))]
+        for a, b in simhash.GrayIndex(w).links(w, 2, top):
+            x, y = (turns.turn(w[i], k, True) for i in (a, b))
+            assert (np.bitwise_count(x ^ y) <= 2).all()
+            found |= {(min(p), max(p)) for p in zip(x.tolist(), y.tolist()) if p[0] != p[1]}
+    assert found == _near_pairs(fp, 2) and len(found) >= 600
+
+
+def test_near_words_of_one_block_pair_fill_many_ranges(spark, monkeypatch):
+    tasks = []
+    rng = np.random.default_rng(2)
+    low = np.unique(rng.integers(0, 1 << 17, 30_000, dtype=np.uint64))  # all agree on 47 bits
+    df = spark.createDataFrame([(int(x),) for x in low], "fp long")
+    cut = simhash.cut
+    monkeypatch.setattr(simhash, "partitions", lambda _: 24)
+    monkeypatch.setattr(simhash, "cut", lambda d: tasks.append(cut(d)) or tasks[-1])
+    rows = simhash.connected_components(simhash.near_links(df, 2)).collect()
+    top = simhash.Turns(2).orders.index([2, 3, 0, 1])
+    assert tasks[0].where(f"turn = {top}").select("range").distinct().count() >= 3 and tasks[0].groupBy("range").count().agg(F.max("count")).first()[0] <= len(low)
+    root = {r.node: r.root for r in rows}
+    every = set(low.tolist())
+    for x in every:
+        for i in range(17):
+            for j in range(i, 17):
+                if (y := x ^ (1 << i) ^ (1 << j if j > i else 0)) in every:
+                    assert root[x] == root[y]
 
 
 def test_pieces_equal_the_library():
