@@ -16,8 +16,10 @@ from matchloom.llm.components import connected_components, local_roots
 
 #: Vectors of a list at which the number of lists aims, and bounds of that number.
 LIST_ROWS, LEAST_LISTS, MOST_LISTS = 192, 8, 4_096
-#: Vectors of the sample for each list; the index is fitted on LIST_SAMPLE * MOST_LISTS at most, and holds every vector.
-LIST_SAMPLE = 16
+#: The index is fitted on LIST_SAMPLE vectors a list and SAMPLE_VALUES components in all at most, and holds every vector.
+LIST_SAMPLE, SAMPLE_VALUES = 16, 4_000_000
+#: Vectors that are compared with all lists at once.
+ROWS = 1_024
 #: Subspaces of a residual, codewords of each, rounds of k-means.
 SUBSPACES, CODEWORDS, ROUNDS = 8, 32, 8
 #: Members of a bundle of neighbouring lists, and searches of it, that one task holds together.
@@ -53,16 +55,33 @@ class Index:
 
     def quantise(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes (n, SUBSPACES) and the length of what they leave out."""
-        p = self.parts(residual)
-        d = ((p[:, :, None, :] - self.codes[None]) ** 2).sum(3)
-        code = d.argmin(2)
-        return code.astype(np.uint8), np.sqrt(np.take_along_axis(d, code[:, :, None], 2)[:, :, 0].sum(1))
+        codes, left = [np.zeros((0, SUBSPACES), np.uint8)], [np.zeros(0)]
+        for at in range(0, len(residual), ROWS):
+            p = self.parts(residual[at : at + ROWS])
+            d = ((p[:, :, None, :] - self.codes[None]) ** 2).sum(3)
+            code = d.argmin(2)
+            codes.append(code.astype(np.uint8))
+            left.append(np.sqrt(np.take_along_axis(d, code[:, :, None], 2)[:, :, 0].sum(1)))
+        return np.concatenate(codes), np.concatenate(left)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each vector."""
+    size = (centres**2).sum(1)[None]
+    return np.concatenate([(size - 2 * x[at : at + ROWS] @ centres.T).argmin(1) for at in range(0, len(x), ROWS)] or [np.zeros(0, np.int64)])
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Vectors, none of them zero, at length 1, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(ROUNDS):
-        near = ((centres**2).sum(1)[None] - 2 * x @ centres.T).argmin(1)
+        near = nearest(x, centres)
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
@@ -90,7 +109,7 @@ def fit(sample: np.ndarray, rows: int, cosine: float) -> Index:
     dim = sample.shape[1]
     lists = _kmeans(sample, lists_for(rows), rng)
     lists = lists[_chain(lists)]
-    near = ((lists**2).sum(1)[None] - 2 * sample @ lists.T).argmin(1)
+    near = nearest(sample, lists)
     width = -(-dim // SUBSPACES)
     before = np.cumsum(np.bincount(near, minlength=len(lists))) * rows // (len(sample) * BLOCK)
     bundles = np.flatnonzero(np.concatenate(([True], before[:-1] != np.concatenate(([0], before[:-2])))))
@@ -130,48 +149,48 @@ def near_vectors(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.95)
     Equal vectors are one node of the index; they are linked with each other, and their number counts in n_links. A
     vector searches every list that can hold a partner, with no limit on their number: its own, and later ones whose
     border (the plane between both centres) is within reach. No link is lost, and each is found once. Neighbouring
-    lists make a bundle, to which a vector goes once. Vectors that are null, zero, or hold null or
-    non-finite components, or are not of the most frequent length, link with nothing; their component_id is their id.
-    Rows of one id count as two vectors. Long bundles are dealt out in blocks.
+    lists make a bundle, to which a vector goes once. Vectors of different lengths link with nothing of each other; each
+    length has an index of its own (the driver holds the list of lengths). Vectors that are null, zero, or hold null or
+    non-finite components link with nothing; their component_id is their id. Rows of one id count as two vectors. Long
+    bundles are dealt out in blocks.
     """
     spark = df.sparkSession
     v = F.col("vec")
+    single = dict(df.dtypes)[vec_col] == "array<float>"
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    sizes = rows.where(fine).groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = sizes["n"] if sizes else 0
-    rows = rows.select("id", F.when(fine & (F.size("vec") == dim), F.transform(v, lambda x: x + F.lit(0.0))).alias("vec"))
-    alone = rows.where("vec IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if dim:
-        linked = _linked(spark, rows.where("vec IS NOT NULL"), dim, cosine)
-        alone = alone.union(linked)
-    return alone.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rows = rows.select("id", F.when(fine, F.transform(v, lambda x: x + F.lit(0.0))).alias("vec"))
+    out = rows.where("vec IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    for dim, n in sorted((r.dim, r.n) for r in rows.where("vec IS NOT NULL").groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        out = out.union(_linked(spark, rows.where(F.size("vec") == dim), dim, cosine, single))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float) -> DataFrame:
+def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float, single: bool) -> DataFrame:
     rows = rows.withColumn("key", F.md5(F.array_join(F.transform("vec", lambda x: x.cast("string")), ",")))
     nodes = rows.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec"))
     nodes = cut(nodes.withColumn("node", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")))
     n = nodes.count()
-    sample = nodes.orderBy(hash60(F.col("key"), F.lit("sample"))).limit(LIST_SAMPLE * lists_for(n)).select("vec").toPandas()
-    units = np.stack(sample.vec.to_numpy())
-    units = units / np.abs(units).max(1, keepdims=True)
-    index = fit(units / np.linalg.norm(units, axis=1, keepdims=True), n, cosine)
+    size = min(LIST_SAMPLE * lists_for(n), max(1, SAMPLE_VALUES // dim))
+    sample = nodes.orderBy(hash60(F.col("key"), F.lit("sample"))).limit(size).select("vec").toPandas()
+    index = fit(units(np.stack(sample.vec.to_numpy())), n, cosine)
     sent = spark.sparkContext.broadcast(index)  # bounded by MOST_LISTS and CODEWORDS
+    stored = "<f4" if single else "<f8"  # as the table has them, so nothing is lost
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = sent.value
         ends = [*ix.bundles[1:].tolist(), len(ix.lists)]
-        for b in batches:
-            x = np.stack(b.vec.to_numpy())
-            x = x / np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            home = (1 + (ix.lists**2).sum(1)[None] - 2 * x @ ix.lists.T).argmin(1)
-            some = np.stack([ix.within(x, home, low, high).any(1) for low, high in zip(ix.bundles.tolist(), ends)], 1)
-            bundle = np.searchsorted(ix.bundles, home, "right") - 1
-            code, left = ix.quantise(x - ix.lists[home])
-            visits = [np.flatnonzero(r).astype(np.int32) for r in some]
-            yield pd.DataFrame({"node": b.node, "copies": b.copies, "unit": [r.tobytes() for r in x], "home": home, "bundle": bundle, "code": [c.tobytes() for c in code], "left": left, "visits": visits})
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                b = whole.iloc[at : at + ROWS]
+                raw = np.stack(b.vec.to_numpy())
+                x = units(raw)
+                home = nearest(x, ix.lists)
+                some = np.stack([ix.within(x, home, low, high).any(1) for low, high in zip(ix.bundles.tolist(), ends)], 1)
+                bundle = np.searchsorted(ix.bundles, home, "right") - 1
+                code, left = ix.quantise(x - ix.lists[home])
+                visits = [np.flatnonzero(r).astype(np.int32) for r in some]
+                yield pd.DataFrame({"node": b.node, "copies": b.copies, "unit": [r.tobytes() for r in raw.astype(stored)], "home": home, "bundle": bundle, "code": [c.tobytes() for c in code], "left": left, "visits": visits})
 
     kinds = "node long, copies long, unit binary, home int, bundle int, code binary, left double, visits array<int>"
     placed = cut(nodes.select("node", "copies", "vec").mapInPandas(place, kinds))
@@ -190,7 +209,7 @@ def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float) -> Da
         m, q = group[group.role == 0], group[group.role == 1]
         if m.empty or q.empty:
             return pd.DataFrame({"node": [], "links": [], "root": []})
-        x, y = (np.frombuffer(b"".join(g.unit), np.float64).reshape(len(g), ix.dim) for g in (m, q))
+        x, y = (units(np.frombuffer(b"".join(g.unit), stored).reshape(len(g), ix.dim)) for g in (m, q))
         code, left, home = np.frombuffer(b"".join(m.code), np.uint8).reshape(len(m), SUBSPACES), m.left.to_numpy(), m.home.to_numpy()
         qn, mn, qc, mc = q.node.to_numpy(), m.node.to_numpy(), q.copies.to_numpy(), m.copies.to_numpy()
         own = q.home.to_numpy()

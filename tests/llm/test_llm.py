@@ -304,12 +304,26 @@ def test_vectors_by_brute_force(spark):
     base = rng.normal(size=(300, 16))
     x = np.concatenate((base, base[:60] + rng.normal(scale=0.05, size=(60, 16)), base[:5], 2 * base[5:8]))
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, [1.0])]
+    rows += [(910, [1.0, 2.0, 3.0]), (911, [2.0, 4.0, 6.0]), (912, [-1.0, 2.0, 3.0]), (913, [1e-200, 2e-200, 3e-200, 1e-201]), (914, [1.0, 2.0, 3.0, 0.1])]  # of other lengths
     got = {r.i: r for r in vectors.near_vectors(spark.createDataFrame(rows, "i long, v array<double>"), "i", "v").collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
     found = sum(got[i].n_links for i in range(len(x)))
     assert near.sum() * 0.9 <= found <= near.sum()
-    assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(900, 905))
+    assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in (*range(900, 905), 912))
+    assert all(got[i].n_links == 1 and got[i].component_id == 910 for i in (910, 911)) and got[913].component_id == got[914].component_id == 913
+
+
+def test_vectors_of_single_precision_and_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_ROWS", 16)  # 625 lists
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(10_000, 12)).astype(np.float32)
+    x[5_000:] = x[:5_000] + rng.normal(scale=0.3, size=(5_000, 12)).astype(np.float32)
+    u = vectors.units(x)
+    near = (u @ u.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i long, v array<float>")
+    rows = vectors.near_vectors(df, "i", "v").collect()
+    assert all(r.n_links == near[r.i] for r in rows) and near.sum() > 1_000  # recall 1
 
 
 def test_vectors_of_one_dense_cluster(spark, monkeypatch):
