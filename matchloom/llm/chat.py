@@ -40,17 +40,20 @@ def unescape(text: Column) -> Column:
 
 
 def schema_fingerprint(record: Column) -> Column:
-    """A hash of the sorted field paths of a JSON object, those in a first array element included; null if no object."""
-    keys = F.json_object_keys(record)
+    """A hash of the sorted field paths of a JSON object; null if no object.
 
-    nested = F.transform(
-        keys,
-        lambda k: F.coalesce(
-            F.transform(F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]")))), lambda c: F.concat(k, F.lit("[]."), c)),
-            F.array(k),
-        ),
-    )
-    return F.xxhash64(F.array_join(F.array_sort(F.flatten(nested)), "\n"))
+    A field that holds an array has the paths of all its elements, so elements of different layouts are told from
+    those of one; one that holds an empty array has the path `field[]`, all others their name.
+    """
+
+    def of(field: Column) -> Column:
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), field, F.lit("']")))
+        inside = F.transform(F.from_json(value, "array<string>"), lambda e: F.transform(F.coalesce(F.json_object_keys(e), F.array(F.lit(""))), lambda c: F.concat(field, F.lit("[]."), c)))
+        paths = F.array_distinct(F.flatten(inside))
+        listed = F.when(F.size(paths) > 0, paths).otherwise(F.array(F.concat(field, F.lit("[]"))))
+        return F.when(value.startswith("["), listed).otherwise(F.array(field))
+
+    return F.xxhash64(F.array_join(F.array_sort(F.flatten(F.transform(F.json_object_keys(record), of))), "\n"))
 
 
 def _mapped(record: Column, mapping: dict) -> Column:
@@ -64,19 +67,20 @@ def _mapped(record: Column, mapping: dict) -> Column:
 
 
 def canonical_turns(record: Column) -> Column:
-    """array<struct<role, text>> of a JSON record in one of MAPPINGS' layouts; null where no mapping has its paths.
+    """array<struct<role, text>> of a JSON record in one of MAPPINGS' layouts; null where no mapping has just its paths.
 
+    A record with a field more, or with elements of different layouts, is none of these: no text is lost silently.
     Null roles and texts become empty ones; roles are renamed by ROLES in layouts that say `from`.
     """
     print_ = schema_fingerprint(record)
     out = F.lit(None).cast(_TURNS)
     for m in MAPPINGS:
-        of = F.xxhash64(F.lit("\n".join(sorted(m["paths"]))))
+        prints = [F.xxhash64(F.lit("\n".join(sorted(m["paths"])))), *[F.xxhash64(F.lit(f"{f}[]")) for f in m.get("turns", ())[:1]]]
         turns = _mapped(record, m).cast(_TURNS)
         if "conversations" in m.get("turns", ()):
             names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
             turns = F.transform(turns, lambda x: F.struct(F.coalesce(names[x["role"]], x["role"]).alias("role"), x["text"].alias("text")))
-        out = F.when(print_ == of, turns).otherwise(out)
+        out = F.when(print_.isin(*prints), turns).otherwise(out)
     empty = F.lit("")
     return F.transform(out, lambda x: F.struct(F.coalesce(x["role"], empty).alias("role"), F.coalesce(x["text"], empty).alias("text")))
 
@@ -121,18 +125,26 @@ def parse_piece(piece: Column) -> Column:
 
 
 def records(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """One JSON record for each conversation: its rows by turn, then role and text where turns tie; null texts are empty."""
+    """One JSON record for each conversation: its rows by turn, then role and text where turns tie; null texts are empty.
+
+    Conversations of one question and one answer, with or without a system text, get the layouts of such; others a list.
+    """
     row = F.struct(F.col(turn_col).alias("t"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["role"], x["content"]))
-    return df.groupBy(F.col(conv_col).alias("conv_id")).agg(F.to_json(F.struct(rows.alias("messages"))).alias("record"))
+    made = df.groupBy(F.col(conv_col).alias("conv_id")).agg(rows.alias("messages"))
+    roles = F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit("\n"))), "")
+    text = lambda i, name: F.get(F.col("messages"), F.lit(i))["content"].alias(name)
+    record = F.when(roles == "user\nassistant\n", F.to_json(F.struct(text(0, "prompt"), text(1, "response"))))
+    record = record.when(roles == "system\nuser\nassistant\n", F.to_json(F.struct(text(0, "system"), text(1, "prompt"), text(2, "response"))))
+    return made.select("conv_id", record.otherwise(F.to_json(F.struct("messages"))).alias("record"))
 
 
 HARD = "</s>[INST] ok [/INST]"
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = "conv_id long, turn long, role string, text string"
-    hard = spark.createDataFrame([(-1, 0, "user", HARD), (-1, 1, "assistant", HARD)], kinds)
+    said = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(HARD).alias("text")) for i, r in enumerate(("user", "assistant"))])
+    hard = spark.range(-1, 0).select(F.col("id").alias("conv_id"), F.inline(said))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
     out = format_chat(records(rows, "conv_id", "turn", "role", "text"), "conv_id", "record")
     read = out.select("conv_id", "formatted", "loss_mask", pieces_of(F.col("formatted")).alias("pieces"))

@@ -15,12 +15,22 @@ _LOW = (1 << LANE_BITS) - 1
 
 
 def paragraphs(text: Column) -> Column:
-    """The non-empty pieces between breaks, without spaces around them."""
-    return F.split(text, r"\s*" + BREAKS + r"\s*")
+    """The pieces between breaks; trim() takes the spaces around them off. The breaks themselves are no part of any piece.
+
+    So a fingerprint tells neither the order of the pieces nor which marks stood between them: "a. b", "b! a" have the same.
+    """
+    return F.split(text, BREAKS)
+
+
+def trim(piece: Column) -> Column:
+    return F.btrim(piece, F.lit(" \t\n\x0b\f\r"))
 
 
 def word_sums(piece: Column) -> list[Column]:
-    """Sums of a column of paragraphs: words of two 32-bit lanes, each lane a sum of hash bytes."""
+    """Sums of a column of paragraphs: words of two 32-bit lanes, each lane a sum of hash bytes.
+
+    A word holds the sums of 8 million paragraphs, beyond which Spark's sum of longs fails; combine() adds up more.
+    """
     mask = F.lit(0x000000FF_000000FF)
     counts = piece != ""
     out = []
@@ -70,7 +80,7 @@ def fingerprint(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     So rows may be whole texts or parts of them. A null text counts as empty; without paragraphs all lanes are 0.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(*keys, F.explode(paragraphs(text)).alias("_piece"))
+    rows = df.select(*keys, F.explode(paragraphs(text)).alias("_piece")).withColumn("_piece", trim(F.col("_piece")))
     sums = rows.groupBy(*keys).agg(*word_sums(F.col("_piece")))
     return sums.select(*keys, F.array(*WORDS).alias("words"), "pieces")
 

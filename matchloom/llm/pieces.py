@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from matchloom.llm.common import table
 
@@ -75,9 +76,9 @@ class ChunkTable:
             if len(known) + len(new) > TABLE_CHUNKS:
                 known.clear()
                 new |= self.learn(set(chunks).difference(new))
-            if max(map(len, new)) <= KEPT_CHARS and len(new) <= TABLE_CHUNKS:
-                known.update(new)
-            else:
+            kept = {c: ids for c, ids in new.items() if len(c) <= KEPT_CHARS} if len(new) <= TABLE_CHUNKS else {}
+            self.ids.update(kept)
+            if len(kept) < len(new):
                 known = known | new
         ids = b"".join([self.bos, *map(known.__getitem__, chunks), self.eos])
         return ids, self.sp.decode(np.frombuffer(ids, np.int32), num_threads=1)
@@ -90,27 +91,26 @@ def encode(df: DataFrame, id_col: str, text_col: str, model: str, keep: bool = T
     bounded table of the distinct chunks that it has met, segments each once, and joins ids back by position; text is
     never shuffled. `model` is a path on every executor.
     """
-    fields = [("id", pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if keep else []
-    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkTable(model)
         for batch in batches:
-            out: list[list] = [batch.column(0).to_pylist(), [], [], []] + [[], []] * keep
+            out: list[list] = [[] for _ in fields]
             for text in batch.column(1):
                 ids, decoded = chunks.encode(text.as_py() or "")
-                out[1].append(len(ids) // 4)
-                out[2].append(hashlib.sha256(ids).hexdigest())
-                out[3].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if keep:
-                    out[4].append(np.frombuffer(ids, "<u4").astype(np.int32))
-                    out[5].append(decoded)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)
-
-    said = "id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
-    out = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, said)
-    return out.withColumn("id", F.col("id").cast(df.schema[id_col].dataType)).withColumnRenamed("id", id_col)
+                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+                row += [np.frombuffer(ids, "<u4").astype(np.int32), decoded] if keep else []
+                for x, v in zip(out, row):
+                    x.append(v)
+            columns = [batch.column(0), *[pa.array(x, t) for x, (_, t) in zip(out, fields)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *[c for c, _ in fields]])
+
+    inner = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    said = inner.drop("text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    said = said.add("ids", ArrayType(IntegerType())).add("decoded", "string") if keep else said
+    return inner.mapInArrow(run, said).withColumnRenamed("id", id_col)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

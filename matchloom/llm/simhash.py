@@ -308,7 +308,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.int64())], names=["key", "node", "fp"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held: list[list[np.ndarray]] = []  # parts of the last key's rows
 
         def made(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             order = np.lexsort((node, gray_rank(fp.view(np.uint64)), key))
@@ -331,12 +331,17 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
             return pa.RecordBatch.from_arrays([pa.array(large), pa.array(a), pa.array(b)], names=["large", "a", "b"])
 
         for batch in batches:
-            held = [np.concatenate((h, batch.column(k).to_numpy())) for k, h in enumerate(held)]
-            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if whole:
-                yield made(*(h[:whole] for h in held))
-                held = [h[whole:] for h in held]
-        yield made(*held)
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(3)]
+            whole = int(np.searchsorted(columns[0], columns[0][-1]))
+            if whole or (held and held[-1][0][-1] != columns[0][0]):  # another key begins
+                held.append([c[:whole] for c in columns])
+                yield made(*(np.concatenate(c) for c in zip(*held)))
+                held, columns = [], [c[whole:] for c in columns]
+            held.append(columns)
+        if held:
+            yield made(*(np.concatenate(c) for c in zip(*held)))
 
     rows = nodes.select("node", "fp", "sig").mapInArrow(runs, "key long, node long, fp long")
     rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")

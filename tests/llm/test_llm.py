@@ -291,12 +291,13 @@ def test_chat_layouts_round_trip(spark):
     rows = [
         ("m", '{"messages": [{"role": "tool", "content": "%s"}]}'), ("c", '{"conversations": [{"from": "human", "value": "%s"}]}'), ("p", '{"prompt": "%s", "response": "r"}'),
         ("i", '{"instruction": "%s", "input": "", "output": "o"}'), ("x", '{"other": "%s"}'), ("n", None), ("e", "not json"),
+        ("0", '{"messages": []}'), ("d", '{"messages": [{"role": "user", "content": "a"}, {"from": "human", "value": "%s"}]}'), ("t", '{"messages": ["%s"]}'), ("+", '{"messages": [{"role": "user", "content": "%s"}], "id": 1}'),
     ]
     quoted = hard.replace("\\", "\\\\").replace("\n", "\\n")
     df = spark.createDataFrame([(k, v % quoted if v and "%s" in v else v) for k, v in rows], "id string, rec string")
     out = chat.format_chat(df, "id", "rec").select("id", F.transform(chat.pieces_of(F.col("formatted")), chat.parse_piece).alias("turns"))
     got = {r.id: r.turns and [tuple(t) for t in r.turns] for r in out.collect()}
-    assert got == {"m": [("tool", hard)], "c": [("user", hard)], "p": [("user", hard), ("assistant", "r")], "i": [("system", hard), ("user", ""), ("assistant", "o")], "x": None, "n": None, "e": None}
+    assert got == {"m": [("tool", hard)], "c": [("user", hard)], "p": [("user", hard), ("assistant", "r")], "i": [("system", hard), ("user", ""), ("assistant", "o")], "x": None, "n": None, "e": None, "0": [], "d": None, "t": None, "+": None}
 
 
 def test_vectors_by_brute_force(spark):
@@ -383,6 +384,16 @@ def test_pipeline_without_labels(spark):
     assert sorted((r.text, r.lang) for r in got) == [("Hello there", "und"), ("été", "und")]
 
 
+def test_tagger_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b", "c"], [rng.normal(size=(w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS], rng.normal(size=(len(langid.WIDTHS) * langid.FILTERS, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    rows = rng.integers(0, 256, (70, langid.WINDOW)).astype(np.uint8)
+    for x, got in zip(rows, langid.Tagger(model).probabilities(rows)):
+        pooled = [[max(sum(c[j, x[i + j], f] for j in range(w)) for i in range(len(x) - w + 1)) for f in range(langid.FILTERS)] for w, c in zip(langid.WIDTHS, model.conv)]
+        z = np.tanh(np.concatenate(pooled)) @ model.dense + model.bias
+        assert got == pytest.approx(np.exp(z - z.max()) / np.exp(z - z.max()).sum(), abs=1e-4)
+
+
 def test_language_id_weighs_windows_by_bytes():
     class Fixed(langid.Tagger):
         def __init__(self):
