@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut, partitions, table
+from matchloom.llm.common import attach, cut, partitions, table
 from matchloom.llm.components import connected_components, local_roots
 
 HASH_SEED = 42
@@ -271,7 +271,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
     A 64-bit SimHash of texts that are 0.8 alike differs in 5 to 17 bits, as that of many that are not, and no index
     finds such distances without comparing most pairs. Candidates therefore share a run of a signature's minima; 3 in
     1,000 pairs of 0.8 share none. All pairs of a group are decided: signatures estimate the similarity, and within
-    SLACK of `similarity` the sets of shingle hashes decide. In groups above PAIRED, texts that the first of the group
+    SLACK of `similarity` the sets of shingle hashes (40 bits of each) decide, unless other links tie both texts. In groups above PAIRED, texts that the first of the group
     and the Gray order of the SimHash have tied already are not compared with each other. Equal sets are one node.
     Texts without a word are copies of each other. Null ids get the smallest non-null id of their group. An empty
     table gives no rows.
@@ -282,19 +282,18 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                fp, node, sig, shingles = [], [], [], []
-                for t in batch.column(1):
+                fp, node, sig = [], [], []
+                for t in batch.column(2):
                     h = shingle_hashes(t.as_py(), words)
                     fp.append(simhash(h))
                     sig.append(signature(h))
-                    shingles.append(np.unique(h).tobytes())
-                    node.append(xxhash.xxh64_intdigest(shingles[-1]) >> 4)
-                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(shingles, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "fp", "node", "sig", "shingles"])
+                    node.append(xxhash.xxh64_intdigest(np.unique(h).tobytes()) >> 4)
+                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "t", "fp", "node", "sig"])
 
-    inner = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = cut(inner.mapInArrow(sketch, inner.drop("text").schema.add("fp", "long").add("node", "long").add("sig", "binary").add("shingles", "binary")))
-    nodes = docs.groupBy("node").agg(F.min("id").alias("low"), F.min("fp").alias("fp"), F.min("sig").alias("sig"))
+    inner = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("t"), F.col(text_col).alias("text"))
+    docs = cut(inner.mapInArrow(sketch, inner.drop("text").schema.add("fp", "long").add("node", "long").add("sig", "binary")))
+    nodes = docs.groupBy("node").agg(F.min("id").alias("low"), F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("sig").alias("sig"))
     nodes = cut(nodes)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,9 +361,22 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
     large = rows.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"))
     if not large.isEmpty():
         judged = cut(judged.union(_large_groups(large, judged.where("sure"), nodes.select("node", "sig"), similarity)))
+    # what the sure links tie needs no decision
+    certain = connected_components(judged.where("sure").select("a", "b"))
     unsure = judged.where("NOT sure").select("a", "b").distinct()
+    for c in ("a", "b"):
+        unsure = unsure.join(certain.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    unsure = cut(unsure.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
     ends = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = docs.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    ends = cut(nodes.select("node", "t").join(ends, "node"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words) >> np.uint64(24)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    texts = attach(inner.select("t", "text"), ends, ["t"]).select("node", "text").dropDuplicates(["node"])
+    sets = texts.mapInArrow(shingles, "node long, shingles binary")
     of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +390,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], names=["a", "b"])
 
     decided = unsure.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(decide, "a long, b long")
-    roots = connected_components(judged.where("sure").select("a", "b").union(decided)).withColumnRenamed("node", "n")
+    roots = connected_components(certain.select(F.col("node").alias("a"), F.col("root").alias("b")).union(decided)).withColumnRenamed("node", "n")
     tied = nodes.select("node", "low").join(roots, F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node"))
     least = tied.groupBy("root").agg(F.min("low").alias("component_id"))
     return docs.select("id", "node").join(tied.join(least, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
