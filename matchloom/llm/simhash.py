@@ -271,7 +271,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
     A 64-bit SimHash of texts that are 0.8 alike differs in 5 to 17 bits, as that of many that are not, and no index
     finds such distances without comparing most pairs. Candidates therefore share a run of a signature's minima; 3 in
     1,000 pairs of 0.8 share none. All pairs of a group are decided: signatures estimate the similarity, and within
-    SLACK of `similarity` the sets of shingle hashes (40 bits of each) decide, unless other links tie both texts. In groups above PAIRED, texts that the first of the group
+    SLACK of `similarity` the sets of shingle hashes (32 bits of each) decide, unless other links tie both texts. In groups above PAIRED, texts that the first of the group
     and the Gray order of the SimHash have tied already are not compared with each other. Equal sets are one node.
     Texts without a word are copies of each other. Null ids get the smallest non-null id of their group. An empty
     table gives no rows.
@@ -357,10 +357,22 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
                 on = pa.array(share >= similarity - SLACK)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on), pa.array(share >= similarity + SLACK).filter(on)], names=["a", "b", "sure"])
 
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique((shingle_hashes(t.as_py(), words) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(node, shingles) for nodes with the digest `t` of a text that has them."""
+        texts = attach(inner.select("t", "text"), some, ["t"]).select("node", "text").dropDuplicates(["node"])
+        return texts.mapInArrow(shingles, "node long, shingles binary")
+
     judged = cut(both.mapInArrow(alike, "a long, b long, sure boolean"))
     large = rows.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"))
     if not large.isEmpty():
-        judged = cut(judged.union(_large_groups(large, judged.where("sure"), nodes.select("node", "sig"), similarity)))
+        members = cut(nodes.select("node", "t").join(large.select("node").distinct(), "node"))
+        members = nodes.select("node", "sig").join(sets_of(members), "node")
+        judged = cut(judged.union(_large_groups(large, judged.where("sure"), members, similarity)))
     # what the sure links tie needs no decision
     certain = connected_components(judged.where("sure").select("a", "b"))
     unsure = judged.where("NOT sure").select("a", "b").distinct()
@@ -370,23 +382,13 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
     ends = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ends = cut(nodes.select("node", "t").join(ends, "node"))
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words) >> np.uint64(24)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    texts = attach(inner.select("t", "text"), ends, ["t"]).select("node", "text").dropDuplicates(["node"])
-    sets = texts.mapInArrow(shingles, "node long, shingles binary")
+    sets = sets_of(ends)
     of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            on = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            on = pa.array(on, pa.bool_())
+            of_ = lambda v: np.frombuffer(v.as_py(), np.uint32)
+            on = pa.array([_alike(of_(x), of_(y), similarity) for x, y in zip(b.column(2), b.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], names=["a", "b"])
 
     decided = unsure.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(decide, "a long, b long")
@@ -396,9 +398,15 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
     return docs.select("id", "node").join(tied.join(least, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
 
 
-def _large_groups(large: DataFrame, sure: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, sure) for the pairs of large groups (key, node) that `sure` does not tie: a forest of the sure, and all unsure ones.
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _large_groups(large: DataFrame, sure: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sure) for the pairs of large groups (key, node) that `sure` does not tie: a forest of those that are alike.
 
+    Signatures and sets (node, sig, shingles) go to the tasks, which decide all pairs that they have not tied yet.
     A component of BLOCK texts or more of a group has blocks of its own, the others share blocks; each pair of blocks
     is one task, but for those of one component.
     """
@@ -413,7 +421,7 @@ def _large_groups(large: DataFrame, sure: DataFrame, sigs: DataFrame, similarity
     tasks = tasks.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     members = large.join(sizes.select("key", "root", "own"), ["key", "root"]).join(marks.select("key", "own", "parts"), ["key", "own"])
     members = members.select("key", "node", "root", name(F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
-    dealt = members.join(tasks, ["key", "block"]).join(sigs, "node").select("key", "i", "j", (F.col("block") == F.col("i")).alias("first"), "node", "root", "sig")
+    dealt = members.join(tasks, ["key", "block"]).join(sets, "node").select("key", "i", "j", (F.col("block") == F.col("i")).alias("first"), "node", "root", "sig", "shingles")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(group.sig), "<u2").reshape(-1, MINIMA)
@@ -421,7 +429,8 @@ def _large_groups(large: DataFrame, sure: DataFrame, sigs: DataFrame, similarity
         same = group.i.iloc[0] == group.j.iloc[0]
         start, stop = (np.arange(len(x)), None) if same else (np.flatnonzero(first), np.flatnonzero(~first))
         tie = np.unique(root, return_inverse=True)[1]
-        found_a, found_b, found_sure = [], [], []
+        own = [np.frombuffer(v, np.uint32) for v in group.shingles]
+        found_a, found_b = [], []
         for i in start:
             j = np.arange(i + 1, len(x)) if same else stop
             j = j[tie[j] != tie[i]]
@@ -430,13 +439,14 @@ def _large_groups(large: DataFrame, sure: DataFrame, sigs: DataFrame, similarity
             j, certain = j[on], share[on] >= similarity + SLACK
             for t in np.unique(tie[j[certain]]):
                 k = j[certain][tie[j[certain]] == t][0]
-                found_a.append(i), found_b.append(k), found_sure.append(True)
+                found_a.append(i), found_b.append(k)
                 tie[tie == t] = tie[i]
             for k in j[~certain]:
-                if tie[k] != tie[i]:
-                    found_a.append(i), found_b.append(k), found_sure.append(False)
+                if tie[k] != tie[i] and _alike(own[i], own[k], similarity):
+                    found_a.append(i), found_b.append(k)
+                    tie[tie == tie[k]] = tie[i]
         a, b = node[np.array(found_a, np.int64)], node[np.array(found_b, np.int64)]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.array(found_sure, bool)})
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.ones(len(a), bool)})
 
     return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, sure boolean")
 
