@@ -430,6 +430,8 @@ def _large_groups(large: DataFrame, sure: DataFrame, sets: DataFrame, similarity
         start, stop = (np.arange(len(x)), None) if same else (np.flatnonzero(first), np.flatnonzero(~first))
         tie = np.unique(root, return_inverse=True)[1]
         own = [np.frombuffer(v, np.uint32) for v in group.shingles]
+        runs, key = x.reshape(len(x), -1, RUN), int(group.key.iloc[0])
+        this = next(k for k in range(runs.shape[1]) if xxhash.xxh64_intdigest(runs[0, k].tobytes(), 2 * RUN * k) >> 1 == key)
         found_a, found_b = [], []
         for i in start:
             j = np.arange(i + 1, len(x)) if same else stop
@@ -441,7 +443,9 @@ def _large_groups(large: DataFrame, sure: DataFrame, sets: DataFrame, similarity
                 k = j[certain][tie[j[certain]] == t][0]
                 found_a.append(i), found_b.append(k)
                 tie[tie == t] = tie[i]
-            for k in j[~certain]:
+            j = j[~certain]
+            j = j[(runs[j] == runs[i]).all(2).argmax(1) == this]  # a pair is decided where it shares its first run
+            for k in j:
                 if tie[k] != tie[i] and _alike(own[i], own[k], similarity):
                     found_a.append(i), found_b.append(k)
                     tie[tie == tie[k]] = tie[i]
