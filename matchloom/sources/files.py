@@ -14,8 +14,13 @@ LINEUP = "match_id long, teams array<struct<team:string, players:array<struct<pl
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path that the driver and all executors see."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+    """A new path that the driver and all executors see: in spark.checkpoint.dir, which only a local master may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def flatten_matches(raw: DataFrame) -> DataFrame:
