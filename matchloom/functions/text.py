@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks, and what they are without (fixed values).
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Small Latin letters that decompose (NFKD) into a letter and marks, and those letters.
+_LATIN = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for block in ((0xDF, 0x250), (0x1E00, 0x1F00)) for c in range(*block) if chr(c).islower() and unicodedata.combining(unicodedata.normalize("NFKD", chr(c))[-1])}
+MARKED, PLAIN = "".join(_LATIN), "".join(_LATIN.values())
 
 
 def normalise(c: Column) -> Column:

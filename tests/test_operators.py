@@ -16,18 +16,18 @@ SF = "/root/testdata/sf0.001"
 
 
 def matches(spark, last=(1, 0)):
-    scores = [(3, 0), (1, 1), (0, 2), (2, 2), (4, 1), (0, 0), last]
-    days = [0, 7, 14, 28, 35, 36, 43]
-    rows = [(100 + i, dt.date(2015, 8, 1) + dt.timedelta(days=d), 2015, 1, 1, 2, h, a) for i, (d, (h, a)) in enumerate(zip(days, scores))]
+    scores = [(2, 1), (0, 0), (1, 3), (3, 3), (5, 0), (1, 1), last]
+    days = [0, 3, 10, 17, 31, 33, 47]
+    rows = [(100 + i, dt.date(2019, 3, 2) + dt.timedelta(days=d), 2015, 1, 1, 2, h, a) for i, (d, (h, a)) in enumerate(zip(days, scores))]
     return spark.createDataFrame(rows, "match_id long, match_date date, season int, league int, home_team_id int, away_team_id int, home_score int, away_score int")
 
 
 def test_prior_windows(spark):
     rows = {r.match_id: r for r in prematch(matches(spark)).collect()}
     assert rows[100].home_form_points is None and rows[100].home_rest_days is None and rows[100].home_played_prior == 0
-    assert rows[103].home_form_gf == pytest.approx(4 / 3)
-    assert rows[106].home_form_gf == pytest.approx((1 + 0 + 2 + 4 + 0) / 5)
-    assert [rows[100 + i].home_rest_days for i in range(1, 7)] == [7, 7, 14, 7, 1, 7]
+    assert rows[103].home_form_gf == pytest.approx(1.0)
+    assert rows[106].home_form_gf == pytest.approx(2.0)
+    assert [rows[100 + i].home_rest_days for i in range(1, 7)] == [3, 7, 7, 14, 2, 14]
     assert rows[106].diff_form_points == pytest.approx(rows[106].home_form_points - rows[106].away_form_points)
 
 
