@@ -6,12 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchloom.llm import chat, fingerprints, langid, mixing, pieces, repeats, secrets, sharding, simhash, vectors
+from matchloom.llm import chat, components, fingerprints, langid, mixing, pieces, repeats, secrets, sharding, simhash, vectors
 from matchloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -179,6 +180,37 @@ def test_long_candidates_end(spark):
     assert [n for _, n in sorted(secrets.scan(df, "i", "t").select("i", F.size("spans")).collect())] == [0, 1, 0, 0, 5_000]
 
 
+def test_components_by_brute_force(spark, monkeypatch):
+    rng = random.Random(2)
+    walk = rng.sample(range(300), 300)
+    cases = {
+        "empty": [],
+        "loops and nulls": [(1, 1), (None, 2), (2, None)],
+        "walk": list(zip(walk, walk[1:])),
+        "random": [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(450)],
+        "high hub": [(10**15, i) for i in range(300)],
+        "repeats": [(1, 2)] * 50 + [(2, 1)] * 50 + [(3, 2)],
+    }
+    monkeypatch.setattr(components, "AT_ONCE", 20)  # in this process; the tasks keep theirs
+    x = np.array(cases["random"])
+    parts = components._forest(pa.RecordBatch.from_arrays([x[at : at + 7, 0], x[at : at + 7, 1]], names=["a", "b"]) for at in range(0, len(x), 7))
+    cases["forests of parts"] = [tuple(e.values()) for b in parts for e in b.to_pylist()]
+    assert len(cases["forests of parts"]) <= len(x)
+    lows = {}
+    for name, edges in cases.items():
+        low = lows[name] = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+        moved = True
+        while moved:
+            moved = False
+            for a, b in edges:
+                if a in low and b in low and low[a] != low[b]:
+                    low[a] = low[b] = min(low[a], low[b])
+                    moved = True
+        rows = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()
+        assert sorted(tuple(r) for r in rows) == sorted(low.items()), name
+    assert lows["forests of parts"] == lows["random"]
+
+
 def test_simhash_components(docs, spark):
     rows = QUERIES["op4_simhash"](spark, SF).collect()
     fps = {r.doc_id: int(r.fingerprint, 16) for r in rows}
