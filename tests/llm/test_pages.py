@@ -82,7 +82,10 @@ def test_decoding_is_the_best_of_all_labellings():
         for labels in itertools.product((1, -1, 0), repeat=n):
             value = 0.0
             for i, x in enumerate(labels):
-                above = labels[page.parent[i]] if i else 0
+                up = page.parent[i]
+                while up > 0 and not on[up]:  # says the same as its only child
+                    up = page.parent[up]
+                above = labels[up] if i and on[up] else 0
                 if above:
                     value += 0.0 if x == above else -math.inf
                 elif on[i]:
