@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType, VariantType
 
 from matchloom.llm.common import table
 
@@ -15,8 +18,11 @@ MAPPINGS = (
     {"paths": ["completion", "prompt"], "texts": [("user", "prompt"), ("assistant", "completion")]},
     {"paths": ["instruction", "output"], "texts": [("user", "instruction"), ("assistant", "output")]},
     {"paths": ["input", "instruction", "output"], "texts": [("system", "instruction"), ("user", "input"), ("assistant", "output")]},
+    {"paths": ["data.prompt", "data.response"], "texts": [("user", "data.prompt"), ("assistant", "data.response")]},
     {"paths": ["prompt", "response", "system"], "texts": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
 )
+#: Characters that the JSON reader takes in one record.
+JSON_CHARS = 20_000_000
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: The template's control strings: what opens and closes a turn of each role; other roles are named in the turn.
@@ -39,48 +45,100 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def schema_fingerprint(record: Column) -> Column:
-    """A hash of the sorted field paths of a JSON object; null if no object.
+def shape(paths: list[str]) -> str:
+    """The shape of an object with just these field paths: nested fields by name, T for a single value."""
 
-    A field that holds an array has the paths of all its elements, so elements of different layouts are told from
-    those of one; one that holds an empty array has the path `field[]`, all others their name.
-    """
+    def of(rest: list[str]) -> str:
+        if rest == [""]:
+            return "T"
+        if all(p.startswith("[]") for p in rest):
+            return f"ARRAY<{of([p[2:] for p in rest])}>"
+        fields: dict[str, list[str]] = {}
+        for p in rest:
+            name, more = re.match(r"\.?([^.\[]+)(.*)", p).groups()
+            fields.setdefault(name, []).append(more)
+        return "OBJECT<" + ", ".join(f"{name}: {of(more)}" for name, more in sorted(fields.items())) + ">"
 
-    def of(field: Column) -> Column:
-        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), field, F.lit("']")))
-        inside = F.transform(F.from_json(value, "array<string>"), lambda e: F.transform(F.coalesce(F.json_object_keys(e), F.array(F.lit(""))), lambda c: F.concat(field, F.lit("[]."), c)))
-        paths = F.array_distinct(F.flatten(inside))
-        listed = F.when(F.size(paths) > 0, paths).otherwise(F.array(F.concat(field, F.lit("[]"))))
-        return F.when(value.startswith("["), listed).otherwise(F.array(field))
+    return of(paths)
 
-    return F.xxhash64(F.array_join(F.array_sort(F.flatten(F.transform(F.json_object_keys(record), of))), "\n"))
 
+def json_shape(variant: Column) -> Column:
+    """The shape of a JSON value. Elements of an array count together; where they differ in kind, the shape says VARIANT."""
+    return F.regexp_replace(F.replace(F.schema_of_variant(variant), F.lit("ARRAY<VOID>"), F.lit("ARRAY<>")), r"(?<=: |<|^)(?:STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL\([0-9, ]+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID)(?=[,>]|$)", "T")
 
-def _mapped(record: Column, mapping: dict) -> Column:
-    if "turns" in mapping:
-        field, role, text = mapping["turns"]
-        kind = f"struct<`{field}`: array<struct<`{role}`: string, `{text}`: string>>>"
-        turns = F.from_json(record, kind)[field]
-        return F.transform(turns, lambda x: F.struct(x[role].alias("role"), x[text].alias("text")))
-    fields = F.from_json(record, "struct<" + ", ".join(f"`{f}`: string" for _, f in mapping["texts"]) + ">")
-    return F.array(*[F.struct(F.lit(r).alias("role"), fields[f].alias("text")) for r, f in mapping["texts"]])
+
+def column_shape(value: Column, kind: DataType) -> Column:
+    """The shape of a column's value, as json_shape has it for the same fields: fields that are null are absent."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        said = F.array(*[F.when(value[f.name].isNotNull(), F.concat(F.lit(f.name + ": "), column_shape(value[f.name], f.dataType))) for f in fields])
+        return F.concat(F.lit("OBJECT<"), F.array_join(said, ", "), F.lit(">"))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+        fields = sorted(kind.elementType.fields, key=lambda f: f.name)
+
+        def found(name: str) -> Column:
+            return F.exists(value, lambda e: e[name].isNotNull())
+
+        said = F.array(*[F.when(found(f.name), F.lit(f.name + ": T")) for f in fields])
+        return F.when(F.size(value) == 0, F.lit("ARRAY<>")).otherwise(F.concat(F.lit("ARRAY<OBJECT<"), F.array_join(said, ", "), F.lit(">>")))
+    return F.lit("ARRAY<T>" if isinstance(kind, ArrayType) else "T")
 
 
-def canonical_turns(record: Column) -> Column:
-    """array<struct<role, text>> of a JSON record in one of MAPPINGS' layouts; null where no mapping has just its paths.
+def schema_fingerprint(record: Column, kind: DataType) -> Column:
+    """A hash of the nested field paths of a record, a struct column or a VARIANT; null where the record is null."""
+    return F.when(record.isNotNull(), F.xxhash64(json_shape(record) if isinstance(kind, VariantType) else column_shape(record, kind)))
 
-    A record with a field more, or with elements of different layouts, is none of these: no text is lost silently.
+
+def _field(kind: DataType, path: str) -> DataType | None:
+    for name in path.split("."):
+        kind = next((f.dataType for f in kind.fields if f.name == name), None) if isinstance(kind, StructType) else None
+    return kind
+
+
+def _mapped(record: Column, kind: DataType, mapping: dict) -> Column | None:
+    """The turns of a record in this layout; None where a struct lacks its columns."""
+    json = isinstance(kind, VariantType)
+    if "turns" in mapping:
+        field, role, text = mapping["turns"]
+        if json:
+            turns = F.try_variant_get(record, f"$.{field}", f"array<struct<`{role}`: string, `{text}`: string>>")
+        else:
+            inside = getattr(_field(kind, field), "elementType", None)
+            if not (_field(inside, role) and _field(inside, text)):
+                return None
+            turns = record[field]
+        return F.transform(turns, lambda x: F.struct(x[role].cast("string").alias("role"), x[text].cast("string").alias("text")))
+
+    def text_of(path: str) -> Column:
+        if json:
+            return F.try_variant_get(record, f"$.{path}", "string")
+        out = record
+        for name in path.split("."):
+            out = out[name]
+        return out.cast("string")
+
+    if not json and not all(_field(kind, p) for _, p in mapping["texts"]):
+        return None
+    return F.array(*[F.struct(F.lit(r).alias("role"), text_of(p).alias("text")) for r, p in mapping["texts"]])
+
+
+def canonical_turns(record: Column, kind: DataType, fingerprint: Column) -> Column:
+    """array<struct<role, text>> of a record in one of MAPPINGS' layouts; null where no mapping has just its paths.
+
+    A record with a field more, or with elements of different kinds, is none of these: no text is lost silently.
     Null roles and texts become empty ones; roles are renamed by ROLES in layouts that say `from`.
     """
-    print_ = schema_fingerprint(record)
     out = F.lit(None).cast(_TURNS)
     for m in MAPPINGS:
-        prints = [F.xxhash64(F.lit("\n".join(sorted(m["paths"])))), *[F.xxhash64(F.lit(f"{f}[]")) for f in m.get("turns", ())[:1]]]
-        turns = _mapped(record, m).cast(_TURNS)
+        turns = _mapped(record, kind, m)
+        if turns is None:
+            continue
+        shapes = [shape(m["paths"]), *[f"OBJECT<{f}: ARRAY<>>" for f in m.get("turns", ())[:1]]]
+        turns = turns.cast(_TURNS)
         if "conversations" in m.get("turns", ()):
             names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
             turns = F.transform(turns, lambda x: F.struct(F.coalesce(names[x["role"]], x["role"]).alias("role"), x["text"].alias("text")))
-        out = F.when(print_.isin(*prints), turns).otherwise(out)
+        out = F.when(fingerprint.isin(*[F.xxhash64(F.lit(x)) for x in shapes]), turns).otherwise(out)
     empty = F.lit("")
     return F.transform(out, lambda x: F.struct(F.coalesce(x["role"], empty).alias("role"), F.coalesce(x["text"], empty).alias("text")))
 
@@ -94,12 +152,23 @@ def _piece(role: Column, text: Column) -> Column:
 
 
 def format_chat(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
-    """id, formatted, loss_mask (array of turn, start, length) for each JSON record.
+    """id, formatted, loss_mask (array of turn, start, length) for each record: a struct, whose null fields are absent, or JSON.
 
-    formatted marks every turn; the mask covers each assistant turn's text in code points from the start of its turn.
-    Unmapped records give null in both. A record without turns gives an empty text and mask.
+    Structs take texts of any length and content as they are. A JSON record of more than JSON_CHARS characters, which the
+    reader could not tell from a broken one, is an error; a broken one counts as unmapped. formatted marks every turn; the mask covers each assistant turn's text in code points from the start of its turn.
+    Unmapped and null records give null in both. A record without turns gives an empty text and mask. Rows may repeat, ids be null;
+    an empty table gives no rows; other columns are dropped, whatever their names.
     """
-    turns = df.select(F.col(id_col).alias("id"), canonical_turns(F.col(record_col)).alias("turns"))
+    kind = df.schema[record_col].dataType
+    record = F.col(record_col)
+    if isinstance(kind, StringType):
+        kind, text = VariantType(), record
+        record = F.try_parse_json(text)
+        long_ = F.raise_error(F.lit(f"a JSON record of more than {JSON_CHARS} characters cannot be read; give it as columns")).cast("variant")
+        record = F.when(F.length(text) > JSON_CHARS, long_).otherwise(record)
+    read = df.select(F.col(id_col).alias("id"), record.alias("record"))
+    read = read.withColumn("print", schema_fingerprint(F.col("record"), kind))
+    turns = read.select("id", canonical_turns(F.col("record"), kind, F.col("print")).alias("turns"))
     pieces = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), _piece(x["role"], x["text"]).alias("piece")))
     a, b = (len(m) + 1 for m in MARKS["assistant"])
     made = turns.select("id", pieces.alias("pieces"))
@@ -125,18 +194,22 @@ def parse_piece(piece: Column) -> Column:
 
 
 def records(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """One JSON record for each conversation: its rows by turn, then role and text where turns tie; null texts are empty.
+    """One record (a struct) for each conversation: its rows by turn, then role and text where turns tie; null texts are empty.
 
-    Conversations of one question and one answer, with or without a system text, get the layouts of such; others a list.
+    Conversations of one question and one answer, with or without a system text, get the layouts of such; others a list. Rows
+    that repeat are turns that repeat. Null ids are one conversation.
     """
     row = F.struct(F.col(turn_col).alias("t"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["role"], x["content"]))
     made = df.groupBy(F.col(conv_col).alias("conv_id")).agg(rows.alias("messages"))
     roles = F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit("\n"))), "")
-    text = lambda i, name: F.get(F.col("messages"), F.lit(i))["content"].alias(name)
-    record = F.when(roles == "user\nassistant\n", F.to_json(F.struct(text(0, "prompt"), text(1, "response"))))
-    record = record.when(roles == "system\nuser\nassistant\n", F.to_json(F.struct(text(0, "system"), text(1, "prompt"), text(2, "response"))))
-    return made.select("conv_id", record.otherwise(F.to_json(F.struct("messages"))).alias("record"))
+    two, three = roles == "user\nassistant\n", roles == "system\nuser\nassistant\n"
+    text = lambda i: F.get(F.col("messages"), F.lit(i))["content"]
+    record = F.struct(
+        F.when(three, text(0)).alias("system"), F.when(two, text(0)).when(three, text(1)).alias("prompt"),
+        F.when(two, text(1)).when(three, text(2)).alias("response"), F.when(~(two | three), F.col("messages")).alias("messages"),
+    )
+    return made.select("conv_id", record.alias("record"))
 
 
 HARD = "</s>[INST] ok [/INST]"

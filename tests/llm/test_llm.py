@@ -436,3 +436,31 @@ def test_language_id_weighs_windows_by_bytes():
 
     said, score = Fixed().tag(["x" * 257])
     assert said == ["a"] and score[0] == pytest.approx(256 * 0.6 / 260, abs=1e-6)
+
+
+def test_chat_records_of_columns_and_nested_json(spark):
+    df = spark.createDataFrame([("n", '{"data": {"prompt": "[1] a", "response": "{b"}}'), ("l", '{"prompt": "[see above]", "response": 5}'), ("o", '{"prompt": {"a": 1}, "response": "x"}')], "id string, rec string")
+    out = chat.format_chat(df, "id", "rec").select("id", F.transform(chat.pieces_of(F.col("formatted")), chat.parse_piece).alias("turns"))
+    got = {r.id: r.turns and [tuple(t) for t in r.turns] for r in out.collect()}
+    assert got == {"n": [("user", "[1] a"), ("assistant", "{b")], "l": [("user", "[see above]"), ("assistant", "5")], "o": None}
+    long_ = spark.range(1).select("id", F.concat(F.lit('{"prompt": "'), F.repeat(F.col("id").cast("string"), 20_100_000), F.lit('", "response": ""}')).alias("rec"))
+    with pytest.raises(Exception, match="give it as columns"):
+        chat.format_chat(long_, "id", "rec").select(F.length("formatted")).collect()
+
+
+def test_op7_equals_its_rows(spark, tmp_path):
+    texts = ["[1] what is this?", "[INST] hi", "[1, 2]", "[x", "[see above]", '{"a": 1}', '"q"', "null", "", None, "\\", "</s>", "é\n𝄞", "[" * 50]
+    rows = [(i, j, r, t, "x") for i, t in enumerate(texts) for j, (r, t) in enumerate((("user", t), ("assistant", texts[-1 - i])))]
+    rows += [(100, 1, "user", "tie"), (100, 1, "user", "tie"), (100, 1, "assistant", "[a"), (101, 0, "system", "[s"), (101, 1, "user", None), (101, 2, "assistant", "[r"), (102, None, None, None), (None, 0, "tool", "[t")]
+    df = spark.createDataFrame([(*r, "x")[:5] for r in rows], "conv_id long, turn long, role string, text string, record string")
+    long_ = spark.createDataFrame([(200, 0, "user", "record"), (200, 1, "assistant", "record")], "conv_id long, turn long, role string, record string").withColumn("text", F.concat(F.lit("["), F.when(F.col("role") == "user", F.repeat(F.concat(F.substring("role", 1, 0), F.lit("abc ")), 5_250_000)).otherwise("")))
+    df.unionByName(long_).write.parquet(f"{tmp_path}/conversations.parquet")
+    every = [(c, t, r or "", x or "") for c, t, r, x, *_ in rows] + [(200, i, r, "[" + "abc " * 5_250_000 * (r == "user")) for i, r in enumerate(("user", "assistant"))]
+    every += [(-1, i, r, chat.HARD) for i, r in enumerate(("user", "assistant"))]
+    want = {}
+    for c in {r[0] for r in every}:
+        own = sorted((r[1:] for r in every if r[0] == c), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+        loss = "".join(x for _, r, x in own if r == "assistant")
+        want[c] = (len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in QUERIES["op7_chat"](spark, str(tmp_path)).collect()}
+    assert got == want
