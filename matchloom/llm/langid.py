@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +15,8 @@ from matchloom.llm.common import hash60, key_text, table
 
 #: Bytes of a window, filter widths, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-#: Bounds of the training sample: rows of each label, labels, and rows in all.
-SAMPLE_ROWS, SAMPLE_LABELS, SAMPLE_ALL = 1_500, 200, 30_000
+#: Bounds of the training sample: rows of each label, and rows in all while there are fewer labels than that.
+SAMPLE_ROWS, SAMPLE_ALL = 1_500, 30_000
 EPOCHS, LEAST_BATCHES, RATE, SEED = 6, 600, 0.05, 7
 #: Windows of a text start this far apart, so that every run of the widest filter lies within one.
 STEP = WINDOW - max(WIDTHS) + 1
@@ -134,26 +133,23 @@ class Tagger:
 def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     """A model from a bounded sample of the rows with a label and a letter.
 
-    The sample has at most SAMPLE_ROWS rows of each of the SAMPLE_LABELS most frequent labels, and as many of each label
-    as make SAMPLE_ALL in all, picked by a hash of the id, and of each text one window's worth of characters from a
-    place that the hash picks. Labels beyond those are not learned, which is warned of. No label gives an empty model.
+    The sample has at most SAMPLE_ROWS rows of each label, and SAMPLE_ALL in all, shared among all labels with one row each at
+    least; picked by a hash of the id, and of each text one window's worth of characters from a
+    place that the hash picks. No label is left out; the driver holds the list of labels. No label gives an empty model.
     """
     fit = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in fit.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(SAMPLE_LABELS + 1).collect()}
-    if len(counts) > SAMPLE_LABELS:
-        warnings.warn(f"only the {SAMPLE_LABELS} most frequent labels are learned", stacklevel=2)
-        counts.popitem()
+    counts = {r[0]: r[1] for r in fit.groupBy(lang_col).count().collect()}
     if not counts:
         return Model([], [], np.zeros(0), np.zeros(0))
-    most = min(SAMPLE_ROWS, SAMPLE_ALL // len(counts))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * most / n))])
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_ALL // len(counts)))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.2 * most + 20) / n))])
     h = hash60(key_text(id_col), F.lit("langid"))
     n = F.length(text_col)
     at = F.pmod(h, F.greatest(F.lit(1), n - WINDOW)) + 1
     rows = (
         fit.where(h < share[F.col(lang_col)] * F.lit(2.0**60))
         .select(h.alias("h"), F.col(text_col).substr(at.cast("int"), F.lit(WINDOW)).alias("t"), F.col(lang_col).alias("l"))
-        .orderBy("h", "l", "t").limit(2 * most * len(counts)).collect()
+        .orderBy("h", "l", "t").limit((2 * most + 40) * len(counts)).collect()
     )
     taken: dict[str, int] = {}
     texts, labels = [], []
@@ -172,13 +168,13 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model, keep: list
     the model has learned no label. Ids may repeat or be null.
     """
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # a few hundred KB, fixed by the bounds above
+    sent = spark.sparkContext.broadcast(astuple(model))  # plain arrays, as workers may lack this package: a few hundred KB, fixed by the bounds above
     names = [id_col, *keep]
     inner = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("t"))
     schema = inner.drop("t").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(sent.value)
+        tagger = Tagger(Model(*sent.value))
         for batch in batches:
             said: list[str] = []
             score: list[float] = []

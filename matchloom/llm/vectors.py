@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -122,18 +122,25 @@ def fit(sample: np.ndarray, rows: int, cosine: float) -> Index:
 def pairs_of(index: Index, x: np.ndarray, home: np.ndarray, code: np.ndarray, left: np.ndarray, q: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (search in q, member in x) of all pairs of at least the wanted cosine.
 
-    The distance from a search to what a member's list and code stand for is one product for all members of a block. A
+    Distances are asymmetric: a search keeps its full vector, a member is its list and its codes. The search's products with all
+    codewords make a table, and its product with a member is that with the list plus a looked-up entry for each subspace. A
     member's true distance differs from that by no more than what its code leaves out, so no pair is lost; those that
     pass get their exact cosine, by one product where they are many.
     """
-    known = index.lists[home] + np.concatenate([index.codes[m][code[:, m]] for m in range(SUBSPACES)], 1)[:, : index.dim]
-    # 1 + |known|^2 - 2 q.known <= (reach + left)^2
-    least = ((1 + (known**2).sum(1) - np.square(index.reach + left)) / 2 - 1e-5).astype(np.float32)
-    known = np.ascontiguousarray(known.T, np.float32)
+    own, place = np.unique(home, return_inverse=True)
+    lists, codes = index.lists[own], index.codes
+    inside = 2 * np.einsum("lmw,mcw->lmc", index.parts(lists), codes) + (codes**2).sum(2)[None]
+    size = (lists**2).sum(1)[place] + sum(inside[place, m, code[:, m]] for m in range(SUBSPACES))  # squared lengths of what codes stand for
+    # 1 + size - 2 q.known <= (reach + left)^2
+    least = ((1 + size - np.square(index.reach + left)) / 2 - 1e-5).astype(np.float32)
     step = max(1, 2_000_000 // max(1, len(x)))
     for s in range(0, len(q), step):
         part = q[s : s + step]
-        near = part.astype(np.float32) @ known >= least[None, :]
+        table = np.einsum("qmw,mcw->mqc", index.parts(part), codes).astype(np.float32)
+        product = np.take((part @ lists.T).astype(np.float32), place, axis=1)
+        for m in range(SUBSPACES):
+            product += np.take(table[m], code[:, m], axis=1)
+        near = product >= least[None, :]
         if np.count_nonzero(near) * 32 > near.size:
             a, b = np.nonzero(near & (part @ x.T >= cosine))
         else:
@@ -174,11 +181,11 @@ def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float, singl
     size = min(LIST_SAMPLE * lists_for(n), max(1, SAMPLE_VALUES // dim))
     sample = nodes.orderBy(hash60(F.col("key"), F.lit("sample"))).limit(size).select("vec").toPandas()
     index = fit(units(np.stack(sample.vec.to_numpy())), n, cosine)
-    sent = spark.sparkContext.broadcast(index)  # bounded by MOST_LISTS and CODEWORDS
+    sent = spark.sparkContext.broadcast(astuple(index))  # plain arrays, as workers may lack this package; bounded by MOST_LISTS and CODEWORDS
     stored = "<f4" if single else "<f8"  # as the table has them, so nothing is lost
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = sent.value
+        ix = Index(*sent.value)
         ends = [*ix.bundles[1:].tolist(), len(ix.lists)]
         for whole in batches:
             for at in range(0, len(whole), ROWS):
@@ -205,7 +212,7 @@ def _linked(spark: SparkSession, rows: DataFrame, dim: int, cosine: float, singl
     searches = placed.withColumn("at", F.explode("visits")).join(load, "at").select(F.lit(1).alias("role"), "at", every("blocks").alias("block"), block("turns", 2).alias("turn"), "node", "copies", "home", "unit", *none)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        ix, at = sent.value, int(group["at"].iloc[0])
+        ix, at = Index(*sent.value), int(group["at"].iloc[0])
         m, q = group[group.role == 0], group[group.role == 1]
         if m.empty or q.empty:
             return pd.DataFrame({"node": [], "links": [], "root": []})
