@@ -97,12 +97,6 @@ def FP10_lineup_strength(spark, d):
     return j.groupBy("l_orderkey").agg(F.round(F.avg("overall"), 6).alias("mean"), F.max("overall").alias("best"), F.count("overall").alias("rated"), F.count(F.lit(1)).alias("slots"))
 
 
-@query()
-def RT1_ratings(spark, d):
-    """Elo and pi before each match (RT1, RT2); an ordered fold that SQL would need recursion for."""
-    return rate(fixtures(spark, d))
-
-
 @query(FX + "SELECT unnest(['result in domain', 'teams differ', 'prices above 1', 'scores from 0']) AS \"check\", unnest([0, 0, count_if(NOT coalesce(odds_h > 1 AND odds_d > 1 AND odds_a > 1, false)), 0]) AS violations FROM f")
 def EX2_contract(spark, d):
     """Row checks in one pass (EX2, EX3, EX8)."""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from matchloom.functions.scores import result, rps
 from matchloom.operators import temporal, windows
 from matchloom.operators.columns import reindex
-from matchloom.operators.ratings import rate
 from matchloom.plans.forecasting import FP7_prematch_features, FP13_inplay_features, ST2_bootstrap, _FORM, _LOSS, _MARKET, LONG, prematch, team_rows, with_market
 from matchloom.plans.registry import SQL, query
 from matchloom.plans.relational import ER2_resolve
@@ -306,12 +305,3 @@ def ML1_dummy(spark, d):
     c = t.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("margin").alias("s"))
     n = F.sum("n").over(w)
     return c.select("y", F.round(F.col("n") / n, 6).alias("share"), F.round(F.sum("s").over(w) / n, 6).alias("mean_margin"))
-
-
-@query()
-def RT4_rating_sanity(spark, d):
-    """How often the home team wins against how often its rating before the match favours it; ratings are an ordered fold (RT1)."""
-    f = fixtures(spark, d)
-    won = f.select("match_id", (result("home_score", "away_score") == "H").cast("int").alias("won"))
-    j = rate(f).join(won, "match_id")
-    return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("won"), 6).alias("home_wins"), F.round(F.avg((F.col("elo_expected_home") > 0.5).cast("int")), 6).alias("favoured"))

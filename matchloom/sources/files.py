@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder, so a lost executor costs no more than what reads it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def flatten_matches(raw: DataFrame) -> DataFrame:
     """One flat row for each match; a missing team or competition gives nulls."""
     return raw.select(

@@ -50,21 +50,29 @@ def prefix_state(events: DataFrame, step: int = 5) -> DataFrame:
     return rows.groupBy("match_id").applyInPandasWithState(update, out, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that the stream has to give now, as a table: every update of an update stream, the last state of a complete one.
+def drained(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
+    """All that the stream has to give now, as a table: every update or appended row, or the last state of a complete stream.
 
     Each batch is written from the executors to a folder of its own in the shared folder, so a batch that is run again
-    replaces its rows and nothing goes through the driver. A stream without data gives an empty table.
+    replaces its rows and nothing goes through the driver. A stream without data gives an empty table. With a path of
+    a call before, the stream goes on from its checkpoint, and the table has the rows of both.
     """
-    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark = stream.sparkSession
+    path = path or shared_folder(spark)
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
     keep(spark.createDataFrame([], stream.schema), -1)
-    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    rows = spark.read.parquet(f"{path}/rows")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{path}/rows")
     if mode == "complete":
         rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
     return rows.drop("batch")
