@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from matchloom.operators.components import components
 from matchloom.sources.files import kept
@@ -182,7 +182,7 @@ class Stream(StatefulProcessor):
         self.teams = handle.getMapState("teams", "team long", "elo double, pi_home double, pi_away double")
         self.season = handle.getValueState("season", "season long, first long, match_date date, match_id long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         m = pd.concat(list(rows)).sort_values(["match_date", "match_id"])  # one batch of one league
         season, first, day, match = self.season.get() if self.season.exists() else (None, None, None, None)
         if day is not None and (m.match_date.iloc[0], m.match_id.iloc[0]) <= (day, match):

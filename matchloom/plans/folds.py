@@ -8,8 +8,8 @@ from matchloom.functions.scores import result
 from matchloom.operators.ratings import rate, rate_pools, rate_stream
 from matchloom.plans.registry import query
 from matchloom.sources.files import kept, shared_folder
-from matchloom.sources.views import FIXTURES_SQL, fixtures
-from matchloom.streaming import live
+from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, fixtures, match_events
+from matchloom.streaming import live, scans
 
 _PUT = "list_transform({0}, lambda x, i: CASE WHEN i = h THEN {1} WHEN i = a THEN {2} ELSE x END)"
 #: The fold in SQL: a step for each match of a league, its state as lists by team.
@@ -65,3 +65,28 @@ def RT4_rating_sanity(spark, d):
     won = f.select("match_id", (result("home_score", "away_score") == "H").cast("int").alias("won"))
     j = rate(f).join(won, "match_id")
     return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("won"), 6).alias("home_wins"), F.round(F.avg((F.col("elo_expected_home") > 0.5).cast("int")), 6).alias("favoured"))
+
+
+_SCAN = f"""WITH e AS ({EVENTS_SQL}), o AS (SELECT *, row_number() OVER (ORDER BY match_id, idx) - 1 AS pos FROM e)
+ SELECT match_id, min(pos) AS first, count(*) AS events, count_if(type = 'purchase') AS purchases, round(sum(value), 4) AS total, true AS contiguous FROM o GROUP BY match_id"""
+
+
+def event_file(spark, d):
+    """The events as files in which each match's rows stand together, read with their places."""
+    path = shared_folder(spark)
+    match_events(spark, d).repartitionByRange("match_id").sortWithinPartitions("match_id", "idx").write.parquet(path)
+    return scans.positions(spark.read.parquet(path))
+
+
+@query(_SCAN)
+def SC9_entity_scan(spark, d):
+    """Each match of a file summed up as it ends, its rows carried over from slice to slice; none comes again."""
+    path, rows = scans.in_slices(event_file(spark, d).select("pos", "match_id", "type", "value"), 4)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return live.drained(scans.scan_stream(stream), "append").withColumn("total", F.round("total", 4))
+
+
+@query(_SCAN)
+def SC9_entity_runs(spark, d):
+    """The same by one aggregation over places."""
+    return scans.runs(event_file(spark, d)).withColumn("total", F.round("total", 4))
