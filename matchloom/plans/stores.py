@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.scores import de_vig, result
 from matchloom.operators.windows import top
 from matchloom.plans.registry import query
-from matchloom.sources import files
+from matchloom.sources import files, sqlite
 from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, fixtures, match_events, table
 
 FX = f"WITH f AS ({FIXTURES_SQL}) "
@@ -82,8 +82,12 @@ _SC7 = "SELECT f.home_team_id, count(*) AS matches, CAST(sum(f.home_score) AS BI
 
 @query(FX + _SC7.format(f="f", n="nation"))
 def SC7_sql_scan(spark, d):
-    """A relational source read by SQL with its projection, join and predicate."""
-    return spark.sql(_SC7, f=fixtures(spark, d), n=table(spark, d, "nation"))
+    """SQLite files read by SQL: the columns it names, its predicate in the files' own SQL, its join in Spark."""
+    path = files.shared_folder(spark)
+    sqlite.write(fixtures(spark, d), f"{path}/store", "Match")
+    sqlite.write(table(spark, d, "nation"), f"{path}/names", "Team")
+    f = sqlite.read(spark, f"{path}/store", "Match", ["home_team_id", "home_score", "season"])
+    return spark.sql(_SC7, f=f, n=sqlite.read(spark, f"{path}/names", "Team", ["n_nationkey"]))
 
 
 @query(FX + "SELECT match_id, league, home_score FROM f WHERE league IN (1, 3)")
