@@ -36,7 +36,7 @@ def test_filters_mean_what_they_mean_in_spark(spark, store, where):
 def test_plan_shows_the_pushed_filter_and_columns(spark, store, capsys):
     sqlite.read(spark, store, "A table", ["id", "k"]).where("k = 3 AND id > 900 AND id % 2 = 0").explain("formatted")
     plan = capsys.readouterr().out
-    assert "PushedFilters" in plan and "k" in plan and "ReadSchema" in plan or "BatchScan" in plan
+    assert "PushedFilters: [IsNotNull(k), IsNotNull(id), EqualTo(k,3), GreaterThan(id,900)]" in plan and "ReadSchema: struct<id:bigint,k:int>" in plan
     said = sqlite.Reader({"path": store, "table": "A table"}, sqlite.read(spark, store, "A table", ["id"]).schema)
     assert list(said.pushFilters([sqlite.ds.EqualTo(("k",), 3), sqlite.ds.StringEndsWith(("name",), "c")])) == [sqlite.ds.StringEndsWith(("name",), "c")]
     assert said.sql() == 'SELECT "id" FROM "A table" WHERE rowid >= ? AND rowid < ? AND ("k" = ?)' and said.values == [3]
