@@ -17,8 +17,18 @@ def normalise(c: Column) -> Column:
     return F.trim(F.replace(F.translate(F.lower(c), MARKED, PLAIN), F.lit("-"), F.lit(" ")))
 
 
-def token_similarity(a: Column, b: Column) -> tuple[Column, Column]:
-    """(share of a's tokens that b has, edits between both): a token is had if one starts the other or they are one edit apart."""
-    ta, tb = F.split(a, " "), F.split(b, " ")
-    had = F.filter(ta, lambda t: F.exists(tb, lambda u: t.startswith(u) | u.startswith(t) | (F.levenshtein(t, u) <= 1)))
-    return F.size(had) / F.size(ta), F.levenshtein(a, b)
+def tokens(c: Column) -> Column:
+    return F.filter(F.split(c, " "), lambda t: t != "")
+
+
+def token_similarity(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """(share of a's tokens that b has, token distance, edits between both).
+
+    A token is had at no cost if it starts one of b's or the other way round, and at a cost of 1 if one is an edit away; the
+    distance adds the least cost of each token that is had.
+    """
+    ta, tb = tokens(a), tokens(b)
+    cost = lambda t, u: F.when(t.startswith(u) | u.startswith(t), 0).when(F.levenshtein(t, u, 1) == 1, 1)
+    costs = F.filter(F.transform(ta, lambda t: F.array_min(F.transform(tb, lambda u: cost(t, u)))), lambda x: x.isNotNull())
+    share = F.coalesce(F.try_divide(F.size(costs), F.size(ta)), F.lit(0.0))
+    return share, F.aggregate(costs, F.lit(0), lambda x, y: x + y), F.levenshtein(a, b)

@@ -316,15 +316,25 @@ def FN1_normalise(spark, d):
     return n.select("name", v.alias("variant"), normalise(v).alias("normal"), F.levenshtein("name", F.expr("substring(name, 1, length(name) - 1)")).alias("edits"))
 
 
-@query("""WITH pool AS (SELECT DISTINCT p_name AS name FROM part), src AS (SELECT name AS source_name FROM pool UNION SELECT upper(replace(name, ' ', '-')) FROM pool UNION SELECT substr(name, 1, length(name) - 1) FROM pool UNION SELECT n_name FROM nation),
- s AS (SELECT source_name, lower(trim(replace(source_name, '-', ' '))) AS a FROM src), tok AS (SELECT source_name, name, string_split(a, ' ') AS ta, string_split(lower(name), ' ') AS tb, a = lower(name) AS exact FROM s, pool),
- sc AS (SELECT source_name, name, exact, len(list_filter(ta, lambda t: len(list_filter(tb, lambda u: t = u OR starts_with(t, u) OR starts_with(u, t) OR levenshtein(t, u) <= 1)) > 0)) / len(ta) AS ratio, levenshtein(array_to_string(ta, ' '), array_to_string(tb, ' ')) AS edit FROM tok),
- r AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY exact DESC, ratio DESC, edit, name) AS k, lead(ratio) OVER (PARTITION BY source_name ORDER BY exact DESC, ratio DESC, edit, name) AS r2, lead(edit) OVER (PARTITION BY source_name ORDER BY exact DESC, ratio DESC, edit, name) AS e2 FROM sc)
- SELECT source_name, CASE WHEN exact OR (ratio >= 0.5 AND NOT (ratio = r2 AND edit = e2)) THEN name END AS canonical, CASE WHEN exact THEN 'exact' WHEN ratio < 0.5 THEN 'below_threshold' WHEN ratio = r2 AND edit = e2 THEN 'ambiguous' ELSE 'fuzzy' END AS method, round(ratio, 6) AS ratio FROM r WHERE k = 1""")
+def resolved_sql(pool: str, src: str, short: int = 0) -> str:
+    """Names (source_name) of a query resolved in a pool (name) by all pairs: share of tokens, token distance, edits."""
+    cost = "CASE WHEN starts_with(t, u) OR starts_with(u, t) THEN 0 WHEN levenshtein(t, u) <= 1 THEN 1 END"
+    split = "list_filter(string_split({}, ' '), lambda t: t <> '')"
+    return f"""WITH pool AS ({pool}), src AS ({src}),
+ n AS (SELECT source_name, name, lower(trim(replace(source_name, '-', ' '))) AS a, lower(trim(replace(name, '-', ' '))) AS b FROM src, pool),
+ c AS (SELECT *, a = b AS exact, len({split.format("a")}) AS tokens, list_filter(list_transform({split.format("a")}, lambda t: list_min(list_transform({split.format("b")}, lambda u: {cost}))), lambda x: x IS NOT NULL) AS costs FROM n),
+ s AS (SELECT source_name, name, exact, CASE WHEN exact THEN 1 WHEN length(a) <= {short} OR tokens = 0 THEN 0 ELSE len(costs) / tokens END AS ratio, coalesce(list_sum(costs), 0) AS distance, levenshtein(a, b) AS edit FROM c),
+ k AS (SELECT *, row_number() OVER w AS k, lead(ratio) OVER w = ratio AND lead(distance) OVER w = distance AND lead(edit) OVER w = edit AS tied FROM s WINDOW w AS (PARTITION BY source_name ORDER BY exact DESC, ratio DESC, distance, edit, name))
+ SELECT source_name, CASE WHEN exact OR (ratio >= 0.5 AND NOT coalesce(tied, false)) THEN name END AS canonical,
+  CASE WHEN exact THEN 'exact' WHEN ratio < 0.5 THEN 'below_threshold' WHEN tied THEN 'ambiguous' ELSE 'fuzzy' END AS method, round(ratio, 6) AS ratio FROM k WHERE k = 1"""
+
+
+@query(resolved_sql("SELECT DISTINCT p_name AS name FROM part", """SELECT name AS source_name FROM pool UNION SELECT upper(replace(name, ' ', '-')) FROM pool UNION SELECT substr(name, 1, length(name) - 1) FROM pool
+ UNION SELECT substr(name, 1, 2) || 'q' || substr(name, 3) FROM pool UNION SELECT string_split(name, ' ')[1] || ' zz' FROM pool UNION SELECT n_name FROM nation"""))
 def ER2_resolve(spark, d):
     """Names to a pool: exact after normalising, else by shared tokens and edits; ties are ambiguous (FN4, ER2-ER4, JN18)."""
     pool = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    forms = [F.col("name"), F.upper(F.replace("name", F.lit(" "), F.lit("-"))), F.expr("substring(name, 1, length(name) - 1)")]
+    forms = [F.col("name"), F.upper(F.replace("name", F.lit(" "), F.lit("-"))), F.expr("substring(name, 1, length(name) - 1)"), F.expr("substring(name, 1, 2) || 'q' || substring(name, 3)"), F.expr("split(name, ' ')[0] || ' zz'")]
     src = pool.select(F.explode(F.array(*forms)).alias("source_name")).union(table(spark, d, "nation").select("n_name")).distinct()
     from matchloom.operators.resolve import resolve
 

@@ -16,6 +16,7 @@ from matchloom.operators.windows import home_away, prior_mean, running_max
 from matchloom.plans.evaluation import ARMS, arms
 from matchloom.plans.forecasting import COLS, _FORM, LONG, prematch
 from matchloom.plans.registry import query
+from matchloom.plans.relational import resolved_sql
 from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, fixtures, match_events, table
 
 FX = f"WITH f AS ({FIXTURES_SQL}) "
@@ -115,12 +116,7 @@ def PF9_column_groups(spark, d):
 _SHORT = 8
 
 
-@query(f"""WITH pool AS (SELECT n_name AS name, lower(n_name) AS b FROM nation), src AS (SELECT DISTINCT unnest([n_name, upper(n_name), n_name || 's']) AS source_name FROM nation),
- t AS (SELECT source_name, name, lower(source_name) AS a, b FROM src, pool),
- c AS (SELECT *, a = b AS exact, len(list_filter(string_split(a, ' '), lambda t: len(list_filter(string_split(b, ' '), lambda u: starts_with(t, u) OR starts_with(u, t) OR levenshtein(t, u) <= 1)) > 0)) / len(string_split(a, ' ')) AS r, levenshtein(a, b) AS e FROM t),
- k AS (SELECT *, CASE WHEN exact OR length(a) > {_SHORT} THEN r ELSE 0 END AS ratio, row_number() OVER w AS k, lead(r) OVER w AS r2, lead(e) OVER w AS e2 FROM c WINDOW w AS (PARTITION BY source_name ORDER BY exact DESC, r DESC, e, name))
- SELECT source_name, CASE WHEN exact OR (ratio >= 0.5 AND NOT (ratio = r2 AND e = e2)) THEN name END AS canonical,
-  CASE WHEN exact THEN 'exact' WHEN ratio < 0.5 THEN 'below_threshold' WHEN ratio = r2 AND e = e2 THEN 'ambiguous' ELSE 'fuzzy' END AS method, round(ratio, 6) AS ratio FROM k WHERE k = 1""")
+@query(resolved_sql("SELECT n_name AS name FROM nation", "SELECT DISTINCT unnest([n_name, upper(n_name), n_name || 's']) AS source_name FROM nation", _SHORT))
 def ER5_short_names(spark, d):
     """Names of at most eight letters match exactly or not at all; longer ones may match by similarity."""
     pool = table(spark, d, "nation").select(F.col("n_name").alias("name"))
