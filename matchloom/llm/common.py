@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_memory() -> None:
+    """Hands what a Python task no longer uses back to the system; its worker stays for tasks of other kinds, which need room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # of the GNU library
+        libc.malloc_trim(0)
+
+
 def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join of df with a derived table of unique keys: broadcast while that table is counted as small, else shuffled."""
     if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

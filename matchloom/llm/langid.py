@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import hash60, key_text, table
+from matchloom.llm.common import free_memory, hash60, key_text, table
 
 #: Bytes of a window, filter widths, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
@@ -184,6 +184,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model, keep: list
                 score += b
             columns = [*batch.columns[: len(names)], pa.array(said, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(names)], "lang_pred", "score"])
+        free_memory()
 
     out = inner.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "score")

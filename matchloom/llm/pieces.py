@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from matchloom.llm.common import table
+from matchloom.llm.common import free_memory, table
 
 #: Distinct chunks kept by a task, and the length up to which a chunk is kept; others are segmented where they occur.
-TABLE_CHUNKS, KEPT_CHARS = 700_000, 64
+TABLE_CHUNKS, KEPT_CHARS = 150_000, 64
+#: Texts whose ids and decoded texts a task holds before it hands them on.
+BATCH_ROWS = 128
 MARK = "▁"
 
 
@@ -57,9 +59,11 @@ class ChunkTable:
         if plain:
             ids = np.array(self.sp.encode("".join(plain)[1:], num_threads=1, return_type="numpy"), "<u4")  # the library puts the first marker there itself
             starts = (4 * np.flatnonzero(self.leads[ids])).tolist()
-            assert len(starts) == len(plain)
-            every = ids.tobytes()
-            found.update(zip(plain, [every[a:b] for a, b in zip(starts, [*starts[1:], len(every)])]))
+            if len(starts) == len(plain):
+                every = ids.tobytes()
+                found.update(zip(plain, [every[a:b] for a, b in zip(starts, [*starts[1:], len(every)])]))
+            else:  # a model whose pieces don't show where chunks begin
+                found.update({c: np.array(self.sp.encode(c[1:], num_threads=1), "<u4").tobytes() for c in plain})
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -96,7 +100,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, model: str, keep: bool = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkTable(model)
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
             out: list[list] = [[] for _ in fields]
             for text in batch.column(1):
                 ids, decoded = chunks.encode(text.as_py() or "")
@@ -106,6 +110,8 @@ def encode(df: DataFrame, id_col: str, text_col: str, model: str, keep: bool = T
                     x.append(v)
             columns = [batch.column(0), *[pa.array(x, t) for x, (_, t) in zip(out, fields)]]
             yield pa.RecordBatch.from_arrays(columns, names=["id", *[c for c, _ in fields]])
+        del chunks
+        free_memory()
 
     inner = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     said = inner.drop("text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")

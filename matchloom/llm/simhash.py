@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import attach, cut, partitions, table
+from matchloom.llm.common import attach, cut, free_memory, partitions, table
 from matchloom.llm.components import connected_components, local_roots
 
 HASH_SEED = 42
@@ -290,6 +290,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, words: int = 5, simil
                     node.append(xxhash.xxh64_intdigest(np.unique(h).tobytes()) >> 4)
                 columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(node, pa.int64()), pa.array(sig, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "t", "fp", "node", "sig"])
+        free_memory()
 
     inner = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("t"), F.col(text_col).alias("text"))
     docs = cut(inner.mapInArrow(sketch, inner.drop("text").schema.add("fp", "long").add("node", "long").add("sig", "binary")))
