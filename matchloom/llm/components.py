@@ -9,28 +9,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import cut
+from matchloom.llm.common import cut, partitions
 
-#: Edges that a task replaces by a forest at once.
+#: Edges that a task replaces by a forest at once, and that a part of a link table holds.
 AT_ONCE = 1 << 20
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of `edges` (a, b: long): root is the smallest node of its component.
 
-    Each task first replaces its edges by a forest of stars, so that edges that lie together anyway do not move. Then
-    alternating large-star and small-star steps; each round is a few joins on the edges, whose number never grows, and
-    ends in a checkpoint. Minima are aggregated before the shuffle, and the join back has one row for each node on one
-    side, so a hub is split like any skewed key. Loops, repeated edges and nulls are dropped; no edges give no rows.
+    Each task first replaces its edges by a forest of stars, so that edges that lie together anyway do not move. What
+    is left is counted and gathered in parts of about AT_ONCE edges, each made a forest again; one part is the result.
+    Else alternating large-star and small-star steps follow; each round is a few joins on the edges, whose number never
+    grows, and ends in a checkpoint of as many parts. Minima are aggregated before the shuffle, and the join back has
+    one row for each node on one side, so a hub is split like any skewed key. Loops, repeated edges and nulls are
+    dropped; no edges give no rows.
     """
-    e = cut(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long").distinct())
-    while not _stars(e):
+    forest = lambda df: df.mapInArrow(_forest, "a long, b long")
+    e = cut(forest(edges.where("a <> b").select("a", "b")))
+    ways = max(1, -(-e.count() // AT_ONCE))
+    gathered = lambda df: df.coalesce(ways) if ways < partitions(df.sparkSession) else df
+    e = forest(gathered(e))
+    e = cut(e if ways == 1 else gathered(e.distinct()))
+    while ways > 1 and not _stars(e):
         both = e.selectExpr("stack(2, a, b, b, a) AS (a, b)")  # both directions, from one pass
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").selectExpr("stack(2, b, m, a, m) AS (a, b)")
-        e = cut(small.where("a <> b").distinct())
+        e = cut(gathered(small.where("a <> b").distinct()))
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(e.select("b", "b").distinct())
 

@@ -187,6 +187,7 @@ def test_components_by_brute_force(spark, monkeypatch):
         "empty": [],
         "loops and nulls": [(1, 1), (None, 2), (2, None)],
         "walk": list(zip(walk, walk[1:])),
+        "short walk": list(zip(walk[:60], walk[1:60])),
         "random": [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(450)],
         "high hub": [(10**15, i) for i in range(300)],
         "repeats": [(1, 2)] * 50 + [(2, 1)] * 50 + [(3, 2)],
