@@ -48,14 +48,20 @@ def RT1_pools(spark, d):
     return rate_pools(kept(fixtures(spark, d)))
 
 
+def season_by_season(f):
+    """rate() of kept matches by a stream: a season's files are one batch, as they stand in no order among themselves."""
+    spark = f.sparkSession
+    path, out = shared_folder(spark), shared_folder(spark)
+    for (season,) in sorted(f.select("season").distinct().collect()) or [(None,)]:
+        f.where(F.col("season") == season).write.mode("append").parquet(path)
+        rated = live.drained(rate_stream(spark.readStream.schema(f.schema).parquet(path)), "append", out)
+    return rated
+
+
 @query(_SQL)
 def UD5_stream_ratings(spark, d):
     """The same from a stream that brings a season at a time; the state of a league is a map of its teams."""
-    f, path = kept(fixtures(spark, d)), shared_folder(spark)
-    for (season,) in sorted(f.select("season").distinct().collect()):  # one file or more a year, in order
-        f.where(F.col("season") == season).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return live.drained(rate_stream(stream), "append")
+    return season_by_season(kept(fixtures(spark, d)))
 
 
 @query(f"{RATED} SELECT count(*) AS n, round(avg((hs > aws)::INT), 6) AS home_wins, round(avg((p > 0.5)::INT), 6) AS favoured FROM s JOIN (SELECT match_id, home_score AS hs, away_score AS aws FROM f) USING (match_id)")

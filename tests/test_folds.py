@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import ratings
 from matchloom.operators.components import components
+from matchloom.plans.folds import season_by_season
 from matchloom.streaming import live
 
 KINDS = "match_id long, match_date date, season int, league int, home_team_id int, away_team_id int, home_score int, away_score int"
@@ -87,3 +88,10 @@ def test_stream_goes_on_from_its_checkpoint_and_asks_for_order(spark, tmp_path):
     df.limit(1).withColumn("match_id", F.lit(9_999).cast("long")).coalesce(1).write.mode("append").parquet(path)
     with pytest.raises(Exception, match="arrives after"):
         live.drained(stream(), "append", out)
+
+
+def test_seasons_of_several_files_stream_in_order(spark):
+    rows = league_of_pools(7)
+    df = spark.createDataFrame(rows, KINDS).repartition(5)  # a season's matches are spread over files in no order
+    assert close(of(season_by_season(df)), plainly(rows))
+    assert season_by_season(df.limit(0)).count() == 0
