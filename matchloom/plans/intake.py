@@ -69,9 +69,15 @@ def SC13_sink(spark, d):
 @query(_UPSERTED)
 def SC13_stream_sink(spark, d):
     """The same from a stream: a batch is a run, so a batch that is run again changes nothing."""
-    path, source = files.shared_folder(spark), files.shared_folder(spark)
-    for rows in versions(spark, d):
-        rows.withColumn("note", F.col("note") if "note" in rows.columns else F.lit(None).cast("string")).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("match_id long, season int, league int, goals long, note string").option("maxFilesPerTrigger", 1).parquet(source)
-    tables.replace_from_stream(stream, path, ["season", "league"], f"{path}_checkpoint")
+    path = files.shared_folder(spark)
+    batches_in(versions(spark, d), path)
     return tables.current(spark, path)
+
+
+def batches_in(versions, path):
+    """Each version's rows, in as many files as they need, as one batch of a stream that replaces seasons and leagues at path."""
+    for rows in versions:
+        spark, source = rows.sparkSession, f"{path}_source"
+        rows.withColumn("note", F.col("note") if "note" in rows.columns else F.lit(None).cast("string")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("match_id long, season int, league int, goals long, note string").parquet(source)
+        tables.replace_from_stream(stream, path, ["season", "league"], f"{path}_checkpoint")

@@ -4,6 +4,7 @@ import codecs
 
 import pytest
 
+from matchloom.plans.intake import batches_in
 from matchloom.sources import seasons, tables
 
 FILES = {
@@ -66,3 +67,13 @@ def test_added_columns_and_a_batch_that_is_run_again(spark, tmp_path):
     assert len(tables.log(spark, path)) == 2
     tables.replace(spark.createDataFrame([("c", 1, "new")], "k string, v int, note string"), path, ["k"], "later")
     assert {tuple(r) for r in tables.current(spark, path).select("k", "v", "note").collect()} == {("a", 1, None), ("b", 5, None), ("c", 1, "new")}
+
+
+def test_a_version_of_many_files_is_one_batch(spark, tmp_path):
+    path, kinds = str(tmp_path / "t"), "match_id long, season int, league int, goals long"
+    old = spark.createDataFrame([(i, 1999 + i % 2, i % 3, 1) for i in range(60)], kinds).repartition(5)
+    new = spark.createDataFrame([(i, 1999, i % 2, 2) for i in range(100, 140)], kinds).repartition(3)
+    batches_in((old, new), path)
+    assert len(tables.log(spark, path)) == 2 and len(list((tmp_path / "t_source").glob("*.parquet"))) > 2
+    got = sorted(map(tuple, tables.current(spark, path).select("match_id", "season", "league", "goals").collect()))
+    assert got == sorted([tuple(r) for r in old.collect() if not (r.season == 1999 and r.league < 2)] + [tuple(r) for r in new.collect()])
