@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from matchloom.operators.windows import running_max, top
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str, parts: int | None = None) -> DataFrame:
     """left with the value of the latest right row strictly before: one union, one shuffle, one window; no range join.
 
     right has one row for each key and date. left rows come before right rows of their date, so equal dates don't match.
+    `parts` is the number of tasks that sort; without it Spark's setting holds, whatever the rows.
     """
     cols = left.columns
     both = left.withColumns({"_t": F.col(at), "_side": F.lit(0), "_v": F.lit(None).cast(right.schema[value].dataType)}).unionByName(
         right.select(key, F.col(since).alias("_t"), F.lit(1).alias("_side"), F.col(value).alias("_v")), allowMissingColumns=True
     )
+    both = both.repartition(parts, key) if parts else both
     w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 0").select(*cols, value)
 

@@ -10,7 +10,7 @@ from matchloom.operators import temporal, windows
 from matchloom.operators.contracts import expect
 from matchloom.operators.ratings import rate
 from matchloom.plans.registry import query
-from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, PREDICTIONS_SQL, dated_ratings, fixtures, match_events, predictions, table
+from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, PREDICTIONS_SQL, appearances, dated_ratings, fixtures, match_events, parts, predictions, table
 from matchloom.streaming import live
 
 FX = f"WITH f AS ({FIXTURES_SQL}) "
@@ -91,9 +91,8 @@ def ES7_rosters(spark, d):
  SELECT l_orderkey, round(avg(overall), 6) AS mean, max(overall) AS best, count(overall) AS rated, count(*) AS slots FROM j GROUP BY 1""")
 def FP10_lineup_strength(spark, d):
     """A line-up's ratings as of the match (FP10, FP11, ES8): mean, best, how many are known."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("match_date"))
-    slots = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("player")).distinct().join(o, "l_orderkey")
-    j = temporal.asof_join(slots, dated_ratings(spark, d), "player", "match_date", "effective_date", "overall")
+    n = parts(spark, d, "lineitem", 2)  # a row of each side
+    j = temporal.asof_join(appearances(spark, d), dated_ratings(spark, d), "player", "match_date", "effective_date", "overall", n)
     return j.groupBy("l_orderkey").agg(F.round(F.avg("overall"), 6).alias("mean"), F.max("overall").alias("best"), F.count("overall").alias("rated"), F.count(F.lit(1)).alias("slots"))
 
 

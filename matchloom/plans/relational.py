@@ -10,7 +10,7 @@ from matchloom.functions.text import normalise, token_similarity
 from matchloom.operators import temporal, windows
 from matchloom.operators.contracts import keyed_join
 from matchloom.plans.registry import query
-from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, dated_ratings, fixtures, match_events, table
+from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, appearances, dated_ratings, fixtures, match_events, parts, table
 
 FX = f"WITH f AS ({FIXTURES_SQL}) "
 EV = f"WITH e AS ({EVENTS_SQL}) "
@@ -93,9 +93,8 @@ _RATED = "(SELECT l_partkey AS player, cast(l_shipdate AS date) AS effective_dat
 @query(f"SELECT l.l_orderkey, l.player, l.match_date, r.overall FROM (SELECT DISTINCT l_orderkey, l_partkey AS player, cast(o_orderdate AS date) AS match_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey) l ASOF LEFT JOIN {_RATED} r ON l.player = r.player AND l.match_date > r.effective_date")
 def JN8_asof(spark, d):
     """The latest rating strictly before each match date."""
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("match_date"))
-    left = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("player")).join(orders, "l_orderkey").distinct()
-    return temporal.asof_join(left, dated_ratings(spark, d), "player", "match_date", "effective_date", "overall").select("l_orderkey", "player", "match_date", "overall")
+    n = parts(spark, d, "lineitem", 2)  # a row of each side
+    return temporal.asof_join(appearances(spark, d), dated_ratings(spark, d), "player", "match_date", "effective_date", "overall", n).select("l_orderkey", "player", "match_date", "overall")
 
 
 @query(FX + "SELECT match_id, CAST(t AS INT) AS t FROM f, range(0, 31, 5) g(t)")

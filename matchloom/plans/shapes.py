@@ -11,7 +11,7 @@ from matchloom.operators.columns import reindex
 from matchloom.plans.forecasting import FP7_prematch_features, FP13_inplay_features, ST2_bootstrap, _FORM, _LOSS, _MARKET, LONG, prematch, team_rows, with_market
 from matchloom.plans.registry import SQL, query
 from matchloom.plans.relational import ER2_resolve
-from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, PREDICTIONS_SQL, dated_ratings, fixtures, match_events, predictions, table
+from matchloom.sources.views import EVENTS_SQL, FIXTURES_SQL, PREDICTIONS_SQL, appearances, dated_ratings, fixtures, match_events, parts, predictions, table
 
 FX = f"WITH f AS ({FIXTURES_SQL}) "
 RES = "CASE WHEN home_score > away_score THEN 'H' WHEN home_score < away_score THEN 'A' ELSE 'D' END"
@@ -109,10 +109,11 @@ _BOTH = ", ".join(f"h.{c} AS home_{c}, a.{c} AS away_{c}" for c in ("squad_mean"
 def squads(spark, d):
     """ES7 + JN8 + AG12: a team's players of the last three months with their ratings before the month, by team and month."""
     lines = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("player"), F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("m"))
+    n = parts(spark, d, "lineitem", 4)  # three months of each row, and its rating
     teams = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("team"))
-    seen = lines.join(teams, "l_suppkey").select("team", "player", "m").distinct()
+    seen = lines.join(teams, "l_suppkey").select("team", "player", "m").repartition(n, "player").distinct()
     roster = seen.select("team", "player", F.explode(F.expr("sequence(add_months(m, 1), add_months(m, 3), interval 1 month)")).alias("month")).distinct()
-    rated = temporal.asof_join(roster, dated_ratings(spark, d), "player", "month", "effective_date", "overall")
+    rated = temporal.asof_join(roster, dated_ratings(spark, d), "player", "month", "effective_date", "overall", n)
     return rated.groupBy("team", "month").agg(F.round(F.avg("overall"), 6).alias("squad_mean"), F.max("overall").alias("squad_best"), F.count(F.lit(1)).alias("squad_size"))
 
 
@@ -263,10 +264,8 @@ def EX6_prior_only(spark, d):
 @query(f"WITH {_RATED}, l AS (SELECT DISTINCT l_orderkey, l_partkey AS player, cast(o_orderdate AS date) AS match_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT count(*) AS slots, count(r.dt) AS rated, count(*) FILTER (WHERE r.dt >= l.match_date) AS violations FROM l ASOF LEFT JOIN r ON l.player = r.player AND l.match_date > r.dt")
 def EX7_strictly_before(spark, d):
     """A rating joined to a match is never of its day or later."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("match_date"))
-    slots = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("player")).distinct().join(o, "l_orderkey")
     dates = dated_ratings(spark, d).select("player", "effective_date", F.col("effective_date").alias("dt"))
-    j = temporal.asof_join(slots, dates, "player", "match_date", "effective_date", "dt")
+    j = temporal.asof_join(appearances(spark, d), dates, "player", "match_date", "effective_date", "dt", parts(spark, d, "lineitem", 2))
     return j.agg(F.count(F.lit(1)).alias("slots"), F.count("dt").alias("rated"), F.count_if(F.col("dt") >= F.col("match_date")).alias("violations"))
 
 

@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a stored table that a task sorts or groups at most, where the number of tasks follows from the table.
+ROWS_A_TASK = 500_000
+
+
+def parts(spark: SparkSession, sf_dir: str, name: str, times: int = 1) -> int:
+    """Partitions for a step that makes `times` rows of each row of a table; the count comes from the files' footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-times * table(spark, sf_dir, name).count() // ROWS_A_TASK))
+
+
 def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order between two nations of a region, as a match of its league with scores and odds."""
     flag = lambda f: F.col("l_returnflag") == f
@@ -67,8 +76,15 @@ def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(player, effective_date, overall): the largest quantity of a part on a ship date."""
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_partkey").alias("player"), F.col("l_shipdate").cast("date").alias("effective_date")).agg(F.max("l_quantity").alias("overall"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("player"), F.col("l_shipdate").cast("date").alias("effective_date"), "l_quantity")
+    return rows.repartition(parts(spark, sf_dir, "lineitem"), "player").groupBy("player", "effective_date").agg(F.max("l_quantity").alias("overall"))
+
+
+def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, player, match_date): a part of an order, once, with the order's date."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("match_date"))
+    slots = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("player")).repartition(parts(spark, sf_dir, "lineitem"), "l_orderkey")
+    return slots.join(orders, "l_orderkey").distinct()
 
 
 PREDICTIONS_SQL = f"""SELECT match_id, match_date, season, league, y, (1 + coalesce(sum(h) OVER w, 0)) / (3 + count(*) OVER w) AS p_h, (1 + coalesce(sum(d) OVER w, 0)) / (3 + count(*) OVER w) AS p_d,

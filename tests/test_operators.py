@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from matchloom.operators import contracts, ratings, temporal
 from matchloom.plans.forecasting import prematch
+from matchloom.sources import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +73,25 @@ def test_query_matches_sql(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name,times", [("JN8_asof", 2), ("FP11_squads", 4), ("FP10_lineup_strength", 2), ("EX7_strictly_before", 2)])
+def test_as_of_joins_have_more_tasks_for_more_rows(spark, monkeypatch, name, times):
+    """A task sorts a bounded number of rows, whatever the setting for shuffles, and the rows are those of the SQL."""
+    tasks, asof = [], temporal.asof_join
+
+    def seen(*args):
+        out = asof(*args)
+        tasks.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(views, "ROWS_A_TASK", 1_000)
+    monkeypatch.setattr(temporal, "asof_join", seen)
+    got = __spark_entry__.queries()[name](spark, SF)
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    plain = lambda rows: sorted(str([float(v) if isinstance(v, (int, float)) else v for v in r]) for r in rows)
+    assert plain(map(tuple, got.collect())) == plain(want)
+    assert tasks[0] >= times * spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1_000 > 4
