@@ -28,11 +28,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, null last; one of rows that are equal.
 
+    SimHash links texts at 3 or fewer differing bits of 64; an exact check adds those of 0.8 and more that lie further apart.
+
     Rows are told apart by all their columns, so different texts stay, whether they share an id or have none.
     """
     keyed = docs.select(*COLUMNS).withColumn("_row", F.md5(F.to_json(F.struct(*COLUMNS))))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    groups = simhash.near_copies(keyed.select(key.alias("_key"), "text"), "_key", "text", words=5, similarity=0.8)
+    groups = simhash.near_copies(keyed.select(key.alias("_key"), "text"), "_key", "text", words=5, similarity=0.8, bits=3)
     kept = groups.where(F.col("_key._row") == F.col("component_id._row")).select("_key._row").distinct()
     return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 

@@ -247,6 +247,19 @@ def test_near_copies_in_one_boilerplate_group(spark):
     assert len(got) == len(texts) and len(wrong) <= 2, wrong  # 3 in 1,000 pairs of 0.8 are no candidates
 
 
+def test_pipeline_drops_what_simhash_links(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    text = lambda common, n: " ".join(common * 40 + [word() for _ in range(n)])
+    common, other = ([word() for _ in range(101)] for _ in range(2))
+    texts = [text(common, 60), text(common, 60), text(other, 60)]
+    fp = [simhash.fingerprint(t, 5) for t in texts]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    assert (fp[0] ^ fp[1]).bit_count() <= 3 < (fp[0] ^ fp[2]).bit_count() and len(sets[0] & sets[1]) < 0.6 * len(sets[0] | sets[1])
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 2]
+
+
 def _near_pairs(fp, bits):
     return {(int(a), int(b)) for i, a in enumerate(fp) for b in fp[np.flatnonzero(np.bitwise_count(fp ^ a) <= bits)] if a < b}
 
