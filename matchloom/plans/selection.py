@@ -50,6 +50,11 @@ def losses(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg(log_loss(h, d, a, named_class())).alias("log_loss"), F.avg(rps(h, d, named_class())).alias("rps"))
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """All rows of df in one part a core at most: each of a fit's many jobs has a task a part, whose report goes to the driver."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def at_once(f, items: list) -> list:
     with ThreadPool(AT_ONCE) as pool:
         return pool.map(f, items)
@@ -66,7 +71,7 @@ def RT3_rating_grid(spark, d):
     data = data.select("candidate", "season", "label", "features").repartition("candidate").sortWithinPartitions("candidate").persist()
 
     def score(i):
-        mine = data.where(F.col("candidate") == i)
+        mine = gathered(data.where(F.col("candidate") == i))
         return (i, *grid[i].values(), *losses(LogisticRegression(regParam=0.001, maxIter=15, family="multinomial").fit(mine.where(TRAIN)).transform(mine.where(CALIBRATE))).first())
 
     rows = at_once(score, range(len(grid)))
@@ -86,8 +91,8 @@ def ML10_random_search(spark, d):
 
     def score(job):
         i, k = job
-        fit = LogisticRegression(maxIter=15, family="multinomial", **chosen[i]).fit(data.where(F.col("fold") != k))
-        return i, k, losses(fit.transform(data.where(F.col("fold") == k))).first()[0]
+        fit = LogisticRegression(maxIter=15, family="multinomial", **chosen[i]).fit(gathered(data.where(F.col("fold") != k)))
+        return i, k, losses(fit.transform(gathered(data.where(F.col("fold") == k)))).first()[0]
 
     found = pd.DataFrame(at_once(score, list(product(range(len(chosen)), range(3)))), columns=["candidate", "fold", "loss"])  # 36 numbers
     data.unpersist()
@@ -139,7 +144,7 @@ def ML13_ablation(spark, d):
     def score(arm):
         rows, dropped = arms[arm]
         kept = [i for i, c in enumerate(INPUTS) if c not in dropped]
-        cut = lambda df: df.withColumn("x", array_to_vector(F.array(*[vector_to_array("features")[i] for i in kept])))
+        cut = lambda df: gathered(df).withColumn("x", array_to_vector(F.array(*[vector_to_array("features")[i] for i in kept])))
         learner = logit().setFeaturesCol("x")
         learner = learner.setWeightCol("w") if arm == "balanced" else learner
         return arm, len(kept), *losses(learner.fit(cut(rows.withColumn("w", weight))).transform(cut(data.where(TEST)))).first()

@@ -16,7 +16,7 @@ from matchloom.operators.resolve import resolve
 from matchloom.operators.windows import running_max
 from matchloom.plans.balancing import training
 from matchloom.plans.forecasting import prematch
-from matchloom.plans.selection import SPACE, candidates
+from matchloom.plans.selection import SPACE, candidates, gathered
 from matchloom.sources.views import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -162,3 +162,9 @@ def test_new_operators_take_empty_tables(spark):
     assert [tuple(r) for r in resolve(one, none.select("name"), token_similarity).collect()] == [("a", None, "below_threshold", 0.0)]
     rows = spark.createDataFrame([], "id long, g int, y string, x double")
     assert balancing.short_of(rows, ["g"], "y").isEmpty()
+
+
+def test_fits_have_no_more_tasks_for_more_parts(spark):
+    many = spark.range(0, 1_000, 1, 50).where("id % 2 = 0")
+    assert gathered(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 50 and gathered(many).exceptAll(many).isEmpty() and gathered(many).count() == 500
+    assert gathered(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 1
