@@ -332,6 +332,41 @@ def test_repeats_by_brute_force(spark, monkeypatch, group):
         assert some
 
 
+def test_repeats_index_few_contexts_at_once(monkeypatch):
+    """A task's index holds INDEX_ROWS contexts or a group, whatever its batches hold, and misses no repeat."""
+    random.seed(5)
+    least, rows = 40, []
+    for key in sorted(random.sample(range(-10**9, 10**9), 300)) + [2 * 10**9]:
+        core = [random.choice("abcd") for _ in range(60)]
+        for _ in range(random.randint(1, 19) if key < 10**9 else 1_300):  # the last group is larger than an index
+            text = core[:]
+            text[random.randrange(15)], text[random.randrange(45, 60)] = random.choice("xyz"), random.choice("xyz")
+            rows.append((key, b"%d" % len(rows), 1, "".join(text).encode(), 20, 21))
+    kinds = {"key": pa.int64(), "d": pa.binary(), "copies": pa.int64(), "context": pa.binary(), "place": pa.int32(), "starts": pa.int32()}
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+    sizes, spans = [], repeats.Marker.spans
+    monkeypatch.setattr(repeats.Marker, "spans", lambda self, key, *more: sizes.append((len(key), len(set(key.tolist())))) or spans(self, key, *more))
+    batches = [table.slice(0, 2_501).combine_chunks(), table.slice(2_501, 0), table.slice(2_501).combine_chunks()]
+    found = {}
+    for b in repeats._mark(least)(x for t in batches for x in t.to_batches()):
+        found |= {d: [(x["a"], x["b"]) for x in s] for d, s in zip(b["d"].to_pylist(), b["spans"].to_pylist())}
+    assert sum(n for n, _ in sizes) == len(rows) and sum(g for _, g in sizes) == 301  # each row once, groups whole
+    assert max(n for n, groups in sizes if groups > 1) <= repeats.INDEX_ROWS and max(sizes)[0] == 1_300 and len(sizes) < 10
+    seen = {}
+    for key, _, _, c, _, _ in rows:
+        for p in range(21):
+            seen[key, c[p : p + least]] = seen.get((key, c[p : p + least]), 0) + 1
+    want = {d: repeats.runs(np.array([seen[key, c[p : p + least]] > 1 for p in range(21)])) for key, d, _, c, _, _ in rows}
+    assert found == {d: s for d, s in want.items() if s} and len(found) > 1_000
+
+
+def test_repeats_take_texts_in_slices():
+    texts = [b"a" * n for n in (0, 5_000_000, 4_000_000, 3_000_000, 9_000_000, 1, 0)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.binary())], names=["t", "text"])
+    got = list(repeats._slices([b.slice(0, 0), b, b.slice(6)], 1))
+    assert [x["t"].to_pylist() for x in got] == [[0, 1], [2, 3], [4, 5, 6], [6]] and pa.Table.from_batches(got[:3])["text"].to_pylist() == texts
+
+
 def test_chat_layouts_round_trip(spark):
     hard = "</s>[INST] \\ ok\\ [/INST]\n<<SYS>>[NAME] é"
     rows = [
