@@ -360,6 +360,27 @@ def test_repeats_index_few_contexts_at_once(monkeypatch):
     assert found == {d: s for d, s in want.items() if s} and len(found) > 1_000
 
 
+def test_planted_passages_of_over_50_words(spark, tmp_path):
+    """400 bytes decide, not words: such a passage goes whole from 400 bytes on and stays below them; other documents stay."""
+    random.seed(6)
+    words = lambda n, of: " ".join("".join(random.choice(of) for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for at, size in enumerate([384, 399, 400, 401, 500] * 4):
+        passage = words(55, "abcd")
+        passage += "é" * ((size - len(passage)) // 2) + "z" * ((size - len(passage)) % 2)
+        assert len(passage.split()) > 50 and len(passage.encode()) == size
+        for side in "uv":  # what stands beside the passage differs between its two documents
+            rows.append((len(rows), f"{words(40, 'fghij')} {side}{passage}{side}{words(at, 'fghij')}"))
+            want[rows[-1][0]] = (size, 1) if size >= 400 else (0, 0)
+    for _ in range(40):
+        rows.append((len(rows), words(random.randint(0, 300), "klmnop")))
+        want[rows[-1][0]] = (0, 0)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op6_repeats"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in got} == want
+    assert {r.doc_id: r.n_bytes for r in got} == {i: len(t.encode()) for i, t in rows}  # of the input: tells nothing of repeats
+
+
 def test_repeats_take_texts_in_slices():
     texts = [b"a" * n for n in (0, 5_000_000, 4_000_000, 3_000_000, 9_000_000, 1, 0)]
     b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.binary())], names=["t", "text"])
