@@ -197,10 +197,10 @@ def AG18_pivot(spark, d):
 
 @query("SELECT o_custkey, min_by(o_orderkey, o_totalprice) AS cheapest, max_by(o_orderkey, o_totalprice) AS dearest FROM orders GROUP BY 1")
 def AG20_arg_extremes(spark, d):
-    """The cheapest and the dearest order of a customer; of orders at one price that with the smallest key."""
+    """The cheapest and the dearest order of a customer, of those with key and price; of orders at one price that with the smallest key."""
     rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    at = lambda key: F.when(F.col("o_totalprice").isNotNull(), F.struct("o_totalprice", key))
-    return rows.groupBy("o_custkey").agg(F.min_by("o_orderkey", at("o_orderkey")).alias("cheapest"), F.max_by("o_orderkey", at(-F.col("o_orderkey"))).alias("dearest"))
+    at = lambda key: F.when(F.expr("o_totalprice IS NOT NULL AND o_orderkey IS NOT NULL"), F.struct("o_totalprice", key))
+    return rows.groupBy("o_custkey").agg(F.min_by("o_orderkey", at("o_orderkey")).alias("cheapest"), F.max_by("o_orderkey", at(F.bitwise_not("o_orderkey"))).alias("dearest"))
 
 
 @query(FX + "SELECT league, season, count(*) AS matches, (SELECT count(DISTINCT t) FROM (SELECT home_team_id AS t, league AS l, season AS s FROM f UNION ALL SELECT away_team_id, league, season FROM f) u WHERE u.l = g.league AND u.s = g.season) AS teams, min(match_date) AS first_date, max(match_date) AS last_date, round(avg((odds_h IS NOT NULL)::INT), 6) AS flagged FROM f g GROUP BY 1, 2")

@@ -45,6 +45,17 @@ def test_arg_extremes_of_equal_prices(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_arg_extremes_of_missing_keys(spark, tmp_path):
+    rows = [(None, 1, 1.0), (5, 1, 2.0), (None, 1, 3.0), (None, 2, 1.0), (7, 3, float("nan")), (8, 3, 1.0), (9, 4, None), (-(2**63), 5, 1.0), (6, None, 1.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE)")
+    con.executemany("INSERT INTO orders VALUES (?, ?, ?)", rows)
+    want = con.sql(f"SELECT o_custkey, cheapest, dearest FROM ({__spark_entry__.oracle_sql()['AG20_arg_extremes']})").fetchall()
+    got = __spark_entry__.queries()["AG20_arg_extremes"](spark, str(tmp_path)).select("o_custkey", "cheapest", "dearest").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_calibrated_probabilities_sum_to_one(spark):
     rows = __spark_entry__.queries()["ML7_calibrated"](spark, SF).collect()
     assert rows and all(abs(r.p_h + r.p_d + r.p_a - 1) < 1e-5 and min(r.p_h, r.p_d, r.p_a) > 0 for r in rows)
