@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -23,19 +24,24 @@ _SCHEMA = "match_id long, " + ", ".join(f"{c} double" for c in NUMBERS)
 Known = tuple[float, float, float]
 
 
+def _signed(size: float, of: float) -> float:
+    return np.copysign(size, of) if isinstance(of, np.ndarray) else math.copysign(size, of)
+
+
 def _goals(r: float) -> float:
-    return math.copysign(10.0 ** (abs(r) / PI["c"]) - 1.0, r)
+    return _signed(10.0 ** (abs(r) / PI["c"]) - 1.0, r)
 
 
 def step(home: Known, away: Known, home_score: int, away_score: int, fixed: dict) -> tuple[tuple[float, ...], Known, Known]:
-    """The values before a match in the order of NUMBERS, and what is known of both teams after it."""
+    """The values before a match in the order of NUMBERS, and what is known of both teams after it. Fixed values may be arrays, of a value a setting."""
     p = 1 / (1 + 10 ** (-(home[0] + fixed["home"] - away[0]) / 400))
     goals = _goals(home[1]) - _goals(away[2])
     before = (home[0], away[0], home[0] - away[0], p, home[1], home[2], away[1], away[2], goals)
     won = 1.0 if home_score > away_score else 0.0 if home_score < away_score else 0.5
     move = fixed["k"] * (won - p)
     error = home_score - away_score - goals
-    by = fixed.get("rate", PI["rate"]) * math.copysign(PI["c"] * math.log10(1 + abs(error)), error)
+    log10 = np.log10 if isinstance(error, np.ndarray) else math.log10
+    by = fixed.get("rate", PI["rate"]) * _signed(PI["c"] * log10(1 + abs(error)), error)
     return before, (home[0] + move, home[1] + by, home[2] + PI["gamma"] * by), (away[0] - move, away[1] - PI["gamma"] * by, away[2] - by)
 
 
@@ -66,8 +72,8 @@ class League:
 _COLUMNS = ["match_id", "match_date", "season", "league", "home_team_id", "away_team_id", "home_score", "away_score"]
 
 
-def _rounded(out: DataFrame, *keys: str) -> DataFrame:
-    return out.select(*keys, "match_id", *[F.round(c, 4).alias(c) for c in NUMBERS])
+def _rounded(out: DataFrame, *keys: str, numbers: Sequence[str] = NUMBERS) -> DataFrame:
+    return out.select(*keys, "match_id", *[F.round(c, 4).alias(c) for c in numbers])
 
 
 def rate(matches: DataFrame, elo: dict | None = None) -> DataFrame:
@@ -89,21 +95,35 @@ def rate(matches: DataFrame, elo: dict | None = None) -> DataFrame:
     return _rounded(fold(matches.select(*_COLUMNS).asTable().partitionBy("league").orderBy("match_date", "match_id")))
 
 
-def rate_all(matches: DataFrame, grid: list[dict]) -> DataFrame:
-    """rate() under each of a list of settings, as (candidate, match_id, ...) from one job; candidate is the place in the list.
+def rate_all(matches: DataFrame, grid: list[dict], numbers: Sequence[str] = NUMBERS, also: Sequence[str] = ()) -> DataFrame:
+    """rate() under each of a list of settings, as (candidate, also, match_id, numbers) from one job; candidate is the place in the list.
 
-    Candidates are spread within each row, and a league under one candidate is a task.
+    What is sorted and shuffled are the matches, whatever the settings: a league's matches come to one task in order, in batches, and
+    are folded under all settings at once, as arrays. `numbers` are those wanted, `also` columns of the matches to keep.
     """
-
-    def fold(m: pd.DataFrame) -> pd.DataFrame:
-        candidate = int(m.candidate.iloc[0])
-        league = League(ELO | grid[candidate])
-        m = m.sort_values(["match_date", "match_id"])
-        out = [(r.match_id, *league.play(r.season, r.home_team_id, r.away_team_id, r.home_score, r.away_score)) for r in m.itertuples()]
-        return pd.DataFrame(out, columns=["match_id", *NUMBERS]).assign(candidate=candidate)
-
-    spread = matches.select(*_COLUMNS).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
-    return _rounded(spread.groupBy("candidate", "league").applyInPandas(fold, _SCHEMA + ", candidate int"), "candidate")
+    fixed = {key: np.array([(ELO | s)[key] for s in grid]) for key in ELO}
+    if any("rate" in s for s in grid):
+        fixed["rate"] = np.array([s.get("rate", PI["rate"]) for s in grid])
+    wanted = [(c, NUMBERS.index(c)) for c in numbers]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, league = None, None
+        for batch in batches:
+            for key, m in batch.groupby("league", sort=False, dropna=False):  # a batch's rows stand league by league
+                key = None if pd.isna(key) else key
+                if league is None or key != name:
+                    name, league = key, League(fixed)
+                out = np.empty((len(wanted), len(m), len(grid)))
+                for i, r in enumerate(m.itertuples()):
+                    before = league.play(r.season, r.home_team_id, r.away_team_id, r.home_score, r.away_score)
+                    for j, (_, at) in enumerate(wanted):
+                        out[j, i] = before[at]
+                rows = m.loc[m.index.repeat(len(grid)), [*also, "match_id"]]
+                yield rows.assign(candidate=np.tile(np.arange(len(grid)), len(m)), **{c: out[j].ravel() for j, (c, _) in enumerate(wanted)})
+
+    rows = matches.select(*dict.fromkeys([*_COLUMNS, *also])).repartition("league").sortWithinPartitions("league", "match_date", "match_id")
+    schema = ", ".join(["candidate int", *[f"{c} {matches.schema[c].dataType.simpleString()}" for c in also], "match_id long", *[f"{c} double" for c in numbers]])
+    return _rounded(rows.mapInPandas(fold, schema), "candidate", *also, numbers=numbers)
 
 
 def starts(matches: DataFrame, fixed: dict) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ from matchloom.operators.columns import resolve_groups
 from matchloom.operators.ratings import rate_all
 from matchloom.plans.models import CALIBRATE, INPUTS, TEST, TRAIN, forest, logit, matrix, named, probabilities
 from matchloom.plans.registry import query
-from matchloom.sources.files import shared_folder
+from matchloom.sources.files import kept, shared_folder
 from matchloom.sources.views import fixtures
 
 #: Fits that run at the same time; each is a Spark job of its own.
@@ -44,10 +44,11 @@ def candidates(space: dict[str, list], n: int, seed: int) -> list[dict]:
     return sorted(every, key=lambda c: hashlib.md5(f"{seed}:{sorted(c.items())}".encode()).hexdigest())[:n]
 
 
-def losses(scored: DataFrame) -> DataFrame:
-    """One row: the mean log-loss and RPS of a classifier's rows."""
+def losses(scored: DataFrame, n: str | None = None) -> DataFrame:
+    """One row: the mean log-loss and RPS of a classifier's rows, weighed by a column n if there is one."""
     h, d, a = probabilities(scored)
-    return scored.agg(F.avg(log_loss(h, d, a, named_class())).alias("log_loss"), F.avg(rps(h, d, named_class())).alias("rps"))
+    mean = lambda c: F.sum(F.col(n) * c) / F.sum(n) if n else F.avg(c)
+    return scored.agg(mean(log_loss(h, d, a, named_class())).alias("log_loss"), mean(rps(h, d, named_class())).alias("rps"))
 
 
 def gathered(df: DataFrame) -> DataFrame:
@@ -60,22 +61,37 @@ def at_once(f, items: list) -> list:
         return pool.map(f, items)
 
 
+def counts(matches: DataFrame, grid: list[dict]) -> DataFrame:
+    """(candidate, train, label, elo_expected_home, n): how many matches to 1999 have a setting's expectation and an outcome.
+
+    It has four decimals, so there are 30,003 such rows a setting and part at most, and a fit to them weighed by n is the fit to all matches.
+    """
+    label = F.when(F.col("home_score") > F.col("away_score"), 0.0).when(F.col("home_score") == F.col("away_score"), 1.0).otherwise(2.0)
+    rated = rate_all(matches.withColumn("label", label), grid, ["elo_expected_home"], ["season", "label"]).where("season <= 1999")
+    return rated.groupBy("candidate", F.expr(TRAIN).alias("train"), "label", "elo_expected_home").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def scaled(counted: DataFrame) -> DataFrame:
+    """features: the expectation over its standard deviation in the training matches, as a fit standardises it that has a row a match."""
+    x, n = F.col("elo_expected_home"), F.when(F.col("train"), F.col("n"))
+    about = F.greatest(F.sum(n * x * x) - F.sum(n * x) ** 2 / F.sum(n), F.lit(0.0))
+    spread = counted.groupBy("candidate").agg(F.sqrt(F.try_divide(about, F.sum(n) - 1)).alias("sd"))  # a row a setting
+    data = counted.join(F.broadcast(spread), "candidate").withColumn("x", F.when(F.col("sd") > 0, x / F.col("sd")).otherwise(0.0))
+    return VectorAssembler(inputCols=["x"], outputCol="features").transform(data).select("candidate", "train", "label", "features", "n")
+
+
 @query()
 def RT3_rating_grid(spark, d):
     """The validation RPS of a logit on Elo under 36 settings; all ratings come from one job, each fit is a job (RT3)."""
     grid = [{"k": k, "home": h, "carry": c} for k, h, c in product((10.0, 20.0, 30.0), (50.0, 70.0, 90.0), (0.6, 0.75, 0.9, 1.0))]
-    f = fixtures(spark, d)
-    label = F.when(F.col("home_score") > F.col("away_score"), 0.0).when(F.col("home_score") == F.col("away_score"), 1.0).otherwise(2.0)
-    rated = rate_all(f, grid).join(f.select("match_id", "season", label.alias("label")), "match_id")
-    data = VectorAssembler(inputCols=["elo_expected_home"], outputCol="features").transform(rated.where("season <= 1999"))
-    data = data.select("candidate", "season", "label", "features").repartition("candidate").sortWithinPartitions("candidate").persist()
+    data = kept(scaled(kept(counts(fixtures(spark, d), grid))).repartition("candidate").sortWithinPartitions("candidate"))  # a fit's many plans begin at files
+    learner = LogisticRegression(regParam=0.001, maxIter=15, family="multinomial", standardization=False, weightCol="n")
 
     def score(i):
         mine = gathered(data.where(F.col("candidate") == i))
-        return (i, *grid[i].values(), *losses(LogisticRegression(regParam=0.001, maxIter=15, family="multinomial").fit(mine.where(TRAIN)).transform(mine.where(CALIBRATE))).first())
+        return (i, *grid[i].values(), *losses(learner.fit(mine.where("train")).transform(mine.where("NOT train")), "n").first())
 
     rows = at_once(score, range(len(grid)))
-    data.unpersist()
     out = spark.createDataFrame(rows, "candidate int, k double, home double, carry double, log_loss double, rps double")  # a row a setting
     return out.withColumns({c: F.round(c, 6) for c in ("log_loss", "rps")})
 

@@ -6,6 +6,8 @@ import os
 
 import duckdb
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -16,7 +18,7 @@ from matchloom.operators.resolve import resolve
 from matchloom.operators.windows import running_max
 from matchloom.plans.balancing import training
 from matchloom.plans.forecasting import prematch
-from matchloom.plans.selection import SPACE, candidates, gathered
+from matchloom.plans.selection import SPACE, candidates, counts, gathered, losses, scaled
 from matchloom.sources.views import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -168,3 +170,56 @@ def test_fits_have_no_more_tasks_for_more_parts(spark):
     many = spark.range(0, 1_000, 1, 50).where("id % 2 = 0")
     assert gathered(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 50 and gathered(many).exceptAll(many).isEmpty() and gathered(many).count() == 500
     assert gathered(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 1
+
+
+def stages(spark):
+    """Rows written to shuffles, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+
+def shuffled(spark, df):
+    before = stages(spark)
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for k, n in stages(spark).items() if k not in before)
+
+
+def test_a_grid_shuffles_each_match_once(spark):
+    f = spark.createDataFrame(fixtures(spark, SF).collect(), fixtures(spark, SF).schema)
+    one, many = (shuffled(spark, ratings.rate_all(f, [{"k": float(k)} for k in range(1, n + 1)])) for n in (1, 36))
+    assert one == many == f.count()
+
+
+def test_a_grid_of_all_settings(spark):
+    f = fixtures(spark, SF).withColumn("league", F.when(F.col("league") > 0, F.col("league")))  # one league has no name
+    grid = [{}, {"rate": 0.1, "home": 50.0}, {"carry": 0.5, "newcomer": 10.0, "start": 1000.0}]
+    got = ratings.rate_all(f, grid)
+    for i, s in enumerate(grid):
+        want = ratings.rate(f, s)
+        assert want.count() > 0 and got.where(F.col("candidate") == i).drop("candidate").exceptAll(want).isEmpty() and want.exceptAll(got.where(F.col("candidate") == i).drop("candidate")).isEmpty()
+    part = ratings.rate_all(f, grid, ["elo_diff"], ["season"])
+    assert part.columns == ["candidate", "season", "match_id", "elo_diff"]
+    assert part.exceptAll(got.join(f.select("match_id", "season"), "match_id").select(*part.columns)).isEmpty() and part.count() == 3 * f.count()
+
+
+def test_counted_matches_give_the_fit_of_all_matches(spark):
+    f = fixtures(spark, SF.replace("0.001", "0.01")).persist()
+    grid = [{"k": 10.0}, {"k": 40.0, "home": 90.0}]
+    counted = counts(f, grid).persist()
+    assert counted.agg(F.sum("n")).first()[0] == 2 * f.where("season <= 1999").count() > counted.count() and counted.agg(F.max("n")).first()[0] > 1
+    label = F.when(F.col("home_score") > F.col("away_score"), 0.0).when(F.col("home_score") == F.col("away_score"), 1.0).otherwise(2.0)
+    for i, s in enumerate(grid):
+        rows = ratings.rate(f, s).join(f.select("match_id", "season", label.alias("label")), "match_id")
+        rows = VectorAssembler(inputCols=["elo_expected_home"], outputCol="features").transform(rows).persist()
+        want = losses(LogisticRegression(regParam=0.001, maxIter=15, family="multinomial").fit(rows.where("season <= 1998")).transform(rows.where("season = 1999"))).first()
+        mine = scaled(counted).where(F.col("candidate") == i)
+        fit = LogisticRegression(regParam=0.001, maxIter=15, family="multinomial", standardization=False, weightCol="n").fit(mine.where("train"))
+        assert list(losses(fit.transform(mine.where("NOT train")), "n").first()) == pytest.approx(list(want), abs=1e-7)
+
+
+def test_one_match_has_no_spread(spark):
+    rows = [(0, True, 0.0, 0.5, 1.0), (1, True, 0.0, 0.5, 2.0), (1, True, 2.0, 0.5, 1.0), (2, False, 1.0, 0.7, 3.0)]
+    got = scaled(spark.createDataFrame(rows, "candidate int, train boolean, label double, elo_expected_home double, n double")).collect()
+    assert len(got) == 4 and all(list(r.features) == [0.0] for r in got)
